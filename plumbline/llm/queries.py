@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import cuckoo, decontam, ring
+from plumbline.llm import bpedfa, cuckoo, decontam, ring, sstable
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = sstable.write_shards(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return sstable.read_shards(spark, manifest, with_ids=False)
+
+
 def op2_cuckoo_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cuckoo.verdicts(_docs(spark, sf_dir))
 
@@ -23,7 +30,21 @@ def op8_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
 
 
-QUERIES = {f.__name__: f for f in (op2_cuckoo_exact_dedup, op3_bounded_ring, op8_ngram_decontamination)}
+def op10_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpedfa.encode(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), outputs=("n_tokens", "ids_text", "decoded"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sstable_tokens,
+        op2_cuckoo_exact_dedup,
+        op3_bounded_ring,
+        op8_ngram_decontamination,
+        op10_automaton_bpe,
+    )
+}
 
 ORACLES = {
     "op2_cuckoo_exact_dedup": """
