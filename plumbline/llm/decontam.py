@@ -52,34 +52,33 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "
     Rows that repeat both id and text share a key; ``n_rows`` counts them.
     """
     grams = benchmark_windows(benchmark, width, item_col, item_text)
-    flag = grams.groupBy("anchor").agg(F.collect_list(F.struct("gram", "off", "items")).alias("wins"))
-    mark = docs.sparkSession.range(1).select(F.lit(SENTINEL).alias("anchor"), F.array().cast(flag.schema["wins"].dataType).alias("wins"))
-    table = flag.unionByName(mark)
-    if grams.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        table = F.broadcast(table)
+    mark = docs.sparkSession.range(1).select(*[F.lit(SENTINEL if f.name == "anchor" else None).cast(f.dataType).alias(f.name) for f in grams.schema])
+    table = grams.unionByName(mark)
     split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).alias("crc"), words_of(F.col(text_col)).alias("w"))
-    probes = split.select("doc_id", "key", "crc", "w", F.posexplode(F.concat("w", F.array(F.lit(SENTINEL)))).alias("pos", "anchor"))
-    found = probes.join(table, "anchor")
-    # A window counts where all its words stand in the document at the proposed place.
-    checked = F.filter(
-        "wins",
-        lambda x: (F.col("pos") >= x["off"]) & F.slice(F.col("w"), F.greatest(F.col("pos") - x["off"] + 1, F.lit(1)), F.size(x["gram"])).eqNullSafe(x["gram"]),
-    )
-    spans = F.transform(checked, lambda x: F.struct((F.col("pos") - x["off"]).alias("start"), F.size(x["gram"]).alias("n")))
     is_mark = F.col("anchor") == SENTINEL
+    start = F.col("pos") - F.col("off")
+    # The whole window is compared before it counts; its words leave the scan with no row.
+    same = (start >= 0) & (F.slice("w", F.greatest(start + 1, F.lit(1)), F.size("gram")) == F.col("gram"))
+    if grams.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        probes = split.select("doc_id", "key", "crc", "w", F.posexplode(F.concat("w", F.array(F.lit(SENTINEL)))).alias("pos", "anchor"))
+        found = probes.join(F.broadcast(table), "anchor").where(is_mark | same)
+    else:
+        probes = split.select("doc_id", "key", "crc", F.posexplode(F.concat("w", F.array(F.lit(SENTINEL)))).alias("pos", "anchor"))
+        proposed = probes.join(table, "anchor")
+        found = proposed.join(split, ["key", "crc"]).where(proposed["doc_id"].eqNullSafe(split["doc_id"])).drop(split["doc_id"]).where(is_mark | same)
     rows = found.select(
         "doc_id",
         "key",
         "crc",
         F.when(is_mark, F.size("w")).alias("words"),
         F.when(is_mark, 1).otherwise(0).alias("mark"),
-        F.when(is_mark, F.array().cast("array<struct<start:int,n:int>>")).otherwise(spans).alias("spans"),
-        F.when(is_mark, F.array().cast("array<string>")).otherwise(F.array_distinct(F.flatten(F.transform(checked, lambda x: x["items"])))).alias("items"),
-    ).where((F.col("mark") == 1) | (F.size("spans") > 0))
+        F.when(~is_mark, F.struct(start.alias("start"), F.size("gram").alias("n"))).alias("span"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    )
     return rows.groupBy("doc_id", "key", "crc").agg(
         F.max("words").alias("n_words"),
         F.sum("mark").alias("n_rows"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
+        F.array_sort(F.collect_set("span")).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
 
