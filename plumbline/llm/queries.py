@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpedfa, cuckoo, decontam, ring, sstable
+from plumbline.llm import bpedfa, cpsjoin, cuckoo, decontam, ring, sstable
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_rows(_docs(spark, sf_dir), shards=16)
 
 
+def op4_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cpsjoin.cluster(_docs(spark, sf_dir), width=2, percent=80)
+
+
 def op8_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
 
@@ -41,6 +45,7 @@ QUERIES = {
         op1_sstable_tokens,
         op2_cuckoo_exact_dedup,
         op3_bounded_ring,
+        op4_chosen_path_join,
         op8_ngram_decontamination,
         op10_automaton_bpe,
     )
