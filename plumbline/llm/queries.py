@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpedfa, cpsjoin, cuckoo, decontam, ring, sstable
+from plumbline.llm import bpedfa, cpsjoin, cuckoo, decontam, fmindex, ring, sstable
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op8_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
 
 
+def op9_fm_index_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.remove_repeats(_docs(spark, sf_dir), width=35, keep_text=False)
+
+
 def op10_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpedfa.encode(_docs(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), outputs=("n_tokens", "ids_text", "decoded"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -47,6 +51,7 @@ QUERIES = {
         op3_bounded_ring,
         op4_chosen_path_join,
         op8_ngram_decontamination,
+        op9_fm_index_repeats,
         op10_automaton_bpe,
     )
 }
@@ -58,6 +63,22 @@ ORACLES = {
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op9_fm_index_repeats": r"""
+        WITH d AS (
+          SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+          FROM documents),
+        win AS (
+          SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS g
+          FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 34)) AS i FROM d WHERE len(w) >= 35)),
+        rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1),
+        gone AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + 34)) AS p FROM rep),
+        each_word AS (SELECT doc_id, unnest(w) AS x, unnest(generate_series(1, len(w))) AS p FROM d WHERE len(w) > 0),
+        kept AS (
+          SELECT e.doc_id, count(g.p) AS n_removed, string_agg(CASE WHEN g.p IS NULL THEN e.x END, ' ' ORDER BY e.p) AS t
+          FROM each_word e LEFT JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY e.doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(k.t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept k USING (doc_id)""",
     "op8_ngram_decontamination": r"""
         WITH d AS (
           SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
