@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpedfa, cpsjoin, cuckoo, decontam, fmindex, ring, sstable
+from plumbline.llm import bpedfa, cotrain, cpsjoin, cuckoo, decontam, fmindex, ring, sstable, zdict
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,20 @@ def op4_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cpsjoin.cluster(_docs(spark, sf_dir), width=2, percent=80)
 
 
+def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold != 1)
+    model = zdict.train(docs, labels)
+    scored = zdict.score(docs, model)
+    held_out = F.coalesce(fold == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op7_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_ngram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.scan(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), width=10)
 
@@ -50,6 +64,8 @@ QUERIES = {
         op2_cuckoo_exact_dedup,
         op3_bounded_ring,
         op4_chosen_path_join,
+        op5_compression_toxicity,
+        op7_cotraining_quality,
         op8_ngram_decontamination,
         op9_fm_index_repeats,
         op10_automaton_bpe,
