@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpedfa, cotrain, cpsjoin, cuckoo, decontam, fmindex, ring, sstable, zdict
+from plumbline.llm import bpedfa, cotrain, cpsjoin, cuckoo, decontam, fmindex, ring, secrets, sstable, zdict
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op6_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(_docs(spark, sf_dir), secrets.train(spark))
+    return found.select("doc_id", "nth", F.sha2("value", 256).alias("value_sha256"), F.char_length("value").alias("length"), "score", "is_secret")
+
+
 def op7_cotraining_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -65,6 +70,7 @@ QUERIES = {
         op3_bounded_ring,
         op4_chosen_path_join,
         op5_compression_toxicity,
+        op6_forest_secrets,
         op7_cotraining_quality,
         op8_ngram_decontamination,
         op9_fm_index_repeats,
