@@ -107,7 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_po
     ids = docs.select("doc_id").where("doc_id is not null")
     pool = ids.join(marked, ids["doc_id"] == marked["_id"], "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_pool)
     chosen = drawn.unionByName(pool.select(F.col("doc_id").alias("_id"), F.lit(None).cast("int").alias("_y")))
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"])
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    rows = plain.join(F.broadcast(chosen), plain["doc_id"] == chosen["_id"])
     a, b = text_features(F.col("text")), meta_features(F.col("lang"), F.col("source"), F.col("n_chars"))
     got = rows.select("_id", "_y", F.array(*a.values()).alias("x"), F.array(*b.values()).alias("m")).collect()
     got.sort(key=lambda r: (r["_id"] * 0x9E3779B97F4A7C15 & (1 << 64) - 1, r["x"]))
@@ -116,34 +117,32 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_po
     return fit(grid(lab, "x", len(a)), grid(lab, "m", len(b)), np.array([r["_y"] for r in lab]), grid(free, "x", len(a)), grid(free, "m", len(b)))
 
 
-def _linear(plain: tuple[float, np.ndarray], features: list[Column]) -> Column:
-    out = F.lit(plain[0])
-    for c, f in zip(plain[1], features):
-        out = out + F.lit(float(c)) * f
-    return out
+def _linear(plain: tuple[float, np.ndarray], features: Column) -> Column:
+    terms = F.zip_with(features, F.array(*[F.lit(float(c)) for c in plain[1]]), lambda f, c: f * c)
+    return F.aggregate(terms, F.lit(float(plain[0])), lambda a, t: a + t)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``_score``: the combined probability of good quality of every row."""
+    """row (all columns of ``docs``), z_text, z_meta and score, the combined probability of good quality."""
     a, b = text_features(F.col("text")), meta_features(F.col("lang"), F.col("source"), F.col("n_chars"))
-    feats = docs.withColumns({f"_t_{k}": v for k, v in a.items()} | {f"_m_{k}": v for k, v in b.items()})
-    z = [F.greatest(F.lit(-8.0), F.least(F.lit(8.0), _linear(p, [F.col(f"_{v}_{k}") for k in keys]))) for v, p, keys in (("t", model.text, a), ("m", model.meta, b))]
-    both = feats.withColumns({"_z_text": z[0], "_z_meta": z[1]}).withColumn("_score", 1 / (1 + F.exp(-_linear(model.joint, [F.col("_z_text"), F.col("_z_meta")]))))
-    return both.drop(*[f"_t_{k}" for k in a], *[f"_m_{k}" for k in b])
+    feats = docs.select(F.struct("*").alias("row"), F.array(*a.values()).alias("x"), F.array(*b.values()).alias("m"))
+    held = lambda z: F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
+    both = feats.select("row", held(_linear(model.text, F.col("x"))).alias("z_text"), held(_linear(model.meta, F.col("m"))).alias("z_meta"))
+    bias, coef = model.joint
+    return both.withColumn("score", 1 / (1 + F.exp(-(F.lit(float(bias)) + F.lit(float(coef[0])) * F.col("z_text") + F.lit(float(coef[1])) * F.col("z_meta")))))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """doc_id, text_score, meta_score, score, accepted for every row of ``docs``."""
-    out = scored(docs, train(docs, labels, **options))
-    return out.select(
-        "doc_id",
-        (1 / (1 + F.exp(-F.col("_z_text")))).alias("text_score"),
-        (1 / (1 + F.exp(-F.col("_z_meta")))).alias("meta_score"),
-        F.col("_score").alias("score"),
-        (F.col("_score") >= threshold).alias("accepted"),
+    return scored(docs, train(docs, labels, **options)).select(
+        F.col("row.doc_id").alias("doc_id"),
+        (1 / (1 + F.exp(-F.col("z_text")))).alias("text_score"),
+        (1 / (1 + F.exp(-F.col("z_meta")))).alias("meta_score"),
+        "score",
+        (F.col("score") >= threshold).alias("accepted"),
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of ``docs`` that the combined views accept, with their own columns only."""
-    return scored(docs, train(docs, labels, **options)).where(F.col("_score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return scored(docs, train(docs, labels, **options)).where(F.col("score") >= threshold).select("row.*")

@@ -193,8 +193,8 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one for each distinct text."""
-    keep = verdicts(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    keep = verdicts(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_sha"))
     sha = F.sha2(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"), 256)
-    marked = docs.withColumns({"_sha": sha, "_id": F.col(id_col).cast("long")})
-    one = marked.join(keep.withColumnsRenamed({"_id": "_k", "_sha": "_s"}), F.col("_id").eqNullSafe(F.col("_k")) & (F.col("_sha") == F.col("_s")))
-    return one.dropDuplicates(["_id", "_sha"]).select(*[F.col(c) for c in docs.columns])
+    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), sha.alias("sha"))
+    one = marked.join(keep.hint("merge"), F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("keep_sha")))
+    return one.dropDuplicates(["id", "sha"]).select("row.*")

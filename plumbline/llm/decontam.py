@@ -114,15 +114,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = 10, **cols: str) ->
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", **cols: str) -> DataFrame:
     """The documents of ``docs`` without any verified benchmark window, all columns kept."""
     bad = hits(docs, benchmark, width, id_col=id_col, text_col=text_col, **cols).where(F.size("spans") > 0)
-    bad = bad.select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text_col) == F.col("_k"))
-    return docs.join(bad, on, "left_anti")
+    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
+    return marked.join(bad, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("key")), "left_anti").select("row.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", **cols: str) -> DataFrame:
     """doc_id and the normalised words left after every verified window is cut out."""
-    per = hits(docs, benchmark, width, id_col=id_col, text_col=text_col, **cols).select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "spans")
+    per = hits(docs, benchmark, width, id_col=id_col, text_col=text_col, **cols).select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"), "spans")
     w = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), words_of(F.col(text_col)).alias("w"))
-    both = w.join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("key") == F.col("_k")))
+    both = w.join(per, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")))
     kept = F.filter("w", lambda x, i: ~F.exists("spans", lambda s: (i >= s["start"]) & (i < s["start"] + s["n"])))
     return both.select("doc_id", F.array_join(kept, " ").alias("text"))
