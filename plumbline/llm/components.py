@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,32 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of one partition as stars (larger end, least node)."""
+    up: dict = {}
+
+    def find(x):
+        root = x
+        while (above := up.get(root, root)) != root:
+            root = above
+        while (above := up.get(x, x)) != root:
+            up[x] = root
+            x = above
+        return root
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    for at in range(0, len(nodes), 20_000):
+        part = nodes[at : at + 20_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([find(x) for x in part], kind)], names=["a", "b"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); ``root`` is the least node of its component.
 
@@ -28,7 +57,9 @@ def components(edges: DataFrame) -> DataFrame:
     round at most; a hub with many edges is a skewed join that adaptive execution splits.
     """
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    now = staged(edges.where(F.col("a") != F.col("b")).select(high.alias("a"), low.alias("b")).distinct(), "edges")
+    plain = edges.where(F.col("a") != F.col("b")).select(high.alias("a"), low.alias("b"))
+    kind = plain.schema["a"].dataType.simpleString()
+    now = staged(plain.mapInArrow(_forest, f"a {kind}, b {kind}"), "edges")
     seen = None
     while True:
         following = staged(_small_star(_large_star(now)), "edges")

@@ -14,13 +14,17 @@
     goes through rounds of hubs (``_hub_round``), each compared with all members in
     parallel, until what may still be linked is bounded.
 
-Recall at the threshold: a level keeps a pair with 1 - (1 - .8p)(1 - .2p) where p is the
-next level's rate; 10 trees of depth 2 to 4 miss a pair at exactly 0.8 with probability
-2e-6 to 2e-4, and closer pairs less.
+Recall at the threshold t: a level keeps a pair with 1 - (1 - tp)(1 - (1 - t)p) where p is
+the rate of the level below.  Depth follows the logarithm of the number of classes, as
+recursion to small nodes would, and the number of trees follows from depth and
+``miss``, the probability that a pair at exactly the threshold shares no node.
+Nodes, edges and families name a class by eight bytes of its digest; two classes that
+share them fall into one family and are told apart there.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,21 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import components
-from plumbline.llm.shared import WordHashes, mix64, partitions, staged, text_batches, unstage
+from plumbline.llm.shared import mix64, partitions, staged, text_batches, word_spans
 
 COORDS = 64
 _rng = np.random.default_rng(20)
 _MULT = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64)
-_words = WordHashes()
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of word shingles; fewer words give one shingle of them all."""
-    words = (text or "").encode("utf-8").lower().split()
-    if not words:
+    h = word_spans((text or "").encode("utf-8").lower())[2]
+    if not len(h):
         return np.empty(0, np.uint64)
-    h = _words.of(words)
     n = max(1, len(h) - width + 1)
     out = np.full(n, min(len(h), width), np.uint64)
     for i in range(min(width, len(h))):
@@ -67,13 +69,14 @@ def digest(items: np.ndarray) -> bytes:
 def _describe(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_batches(batches, "text", 1024):
-            n, keys, sigs = [], [], []
+            n, keys, shorts, sigs = [], [], [], []
             for text in texts:
                 items = shingles(text, width)
                 n.append(len(items))
                 keys.append(digest(items))
+                shorts.append(int.from_bytes(keys[-1][:8], "little", signed=True))
                 sigs.append(signature(items).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(shorts, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "text_hash", "n", "key", "k", "sig"])
 
     return run
 
@@ -94,7 +97,7 @@ def _branch(paths: np.ndarray, rows: np.ndarray, sigs: np.ndarray, second: float
 
 
 def _paths(trees: int, depth: int, second: float):
-    """Rows (path, key) of the first ``depth`` levels, or of one more level below ``path``."""
+    """Rows (path, k) of the first ``depth`` levels, or of one more level below ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +112,7 @@ def _paths(trees: int, depth: int, second: float):
                     rows = np.tile(np.arange(n), trees)
                 for _ in range(depth):
                     paths, rows = _branch(paths, rows, sigs, second)
-                yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), part.column("key").take(pa.array(rows))], names=["path", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), part.column("k").take(pa.array(rows))], names=["path", "k"])
 
     return run
 
@@ -157,13 +160,13 @@ def _compare(least: int):
             for i in range(len(node) - 1):
                 for j in np.flatnonzero((sigs[i + 1 :] == sigs[i]).sum(axis=1) >= least).tolist():
                     if union.join(i, i + 1 + j):
-                        a.append(node[i]["key"])
-                        b.append(node[i + 1 + j]["key"])
+                        a.append(node[i]["k"])
+                        b.append(node[i + 1 + j]["k"])
             if len(a) >= 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 a, b = [], []
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -204,8 +207,11 @@ def _exact(width: int, percent: int):
 
 
 def _with_text(members: DataFrame, docs: DataFrame) -> DataFrame:
-    """Members with the text of their representative; equal ids of other texts drop out by digest."""
-    return members.join(docs, members["cid"] == docs["doc_id"]).drop("doc_id")
+    """Members with the text of their representative; equal ids of other texts drop out by digest.
+
+    Both sides grow with the corpus, so the join is a sort-merge join at every size.
+    """
+    return members.hint("merge").join(docs, members["cid"] == docs["doc_id"]).drop("doc_id")
 
 
 def _distances(width: int):
@@ -230,7 +236,7 @@ def _distances(width: int):
                 out["common"].append([len(np.intersect1d(items, h, assume_unique=True)) for _, h in hubs])
                 out["sizes"].append([len(h) for _, h in hubs])
                 out["hub_keys"].append([k for k, _ in hubs])
-            kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
     return run
@@ -249,7 +255,7 @@ def _hub_round(members: DataFrame, docs: DataFrame, width: int, percent: int, hu
     chosen = _with_text(picked.select("fam", "h.key", "h.cid"), docs)
     table = chosen.groupBy("fam").agg(F.collect_list(F.struct("key", "text")).alias("hubs"))
     rows = _with_text(members.drop("main"), docs).join(table, "fam").select("fam", "key", "cid", "n", "text", "hubs")
-    dist = staged(rows.mapInArrow(_distances(width), "fam binary, key binary, cid long, n long, common array<long>, sizes array<long>, hub_keys array<binary>").dropDuplicates(["fam", "key"]), "hub-distances")
+    dist = staged(rows.mapInArrow(_distances(width), "fam long, key binary, cid long, n long, common array<long>, sizes array<long>, hub_keys array<binary>").dropDuplicates(["fam", "key"]), "hub-distances")
     pairs = F.arrays_zip("common", "sizes", "hub_keys")
     is_link = lambda p: 100 * p["common"] >= percent * (p["sizes"] + F.col("n") - p["common"])
     dist = dist.withColumns({
@@ -275,38 +281,50 @@ def _hub_round(members: DataFrame, docs: DataFrame, width: int, percent: int, hu
     return links, left.join(outside, "fam", "left_semi").select("fam", "key", "cid", "n", "main")
 
 
-def cluster(docs: DataFrame, width: int = 2, percent: int = 80, trees: int = 10, small: int = 1000, depth: int = 2, deepest: int = 8, family_work: float = 1e9, family_items: int = 4_000_000, hubs: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of ``docs``.
+def plan_trees(classes: int, percent: int, miss: float, small: int = 64) -> tuple[int, int]:
+    """(depth, trees) for so many classes."""
+    t, keep = percent / 100, 1.0
+    depth = max(2, round(math.log(max(2, classes)) / math.log(small)))
+    for _ in range(depth):
+        keep = 1 - (1 - t * keep) * (1 - (1 - t) * keep)
+    return depth, math.ceil(math.log(miss) / math.log(1 - keep))
+
+
+def labelled(docs: DataFrame, width: int = 2, percent: int = 80, miss: float = 1e-5, small: int = 1000, deeper: int = 2, family_work: float = 3e9, family_items: int = 4_000_000, hubs: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept for each row of ``docs``.
 
     Null and wordless texts have no shingles and are linked with nothing; rows with a
     null id take no part (component null, kept false).  Rows of equal sets share a class.
+    Nodes above ``small`` branch on for at most ``deeper`` levels; members of one that is
+    still large agree on many tokens and form a family as they are.
     """
     n_parts = partitions(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = staged(texts.mapInArrow(_describe(width), "doc_id long, n long, key binary, sig binary"), "shingles")
+    hashed = texts.withColumn("text_hash", F.xxhash64("text"))
+    rows = staged(hashed.mapInArrow(_describe(width), "doc_id long, text_hash long, n long, key binary, k long, sig binary"), "shingles")
     live = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    classes = staged(live.groupBy("key").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = staged(live.groupBy("key", "k").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     second = 100 / percent - 1
+    depth, trees = plan_trees(classes.count(), percent, miss)
 
     edges = None
-    level = staged(classes.select("key", "sig").mapInArrow(_paths(trees, depth, second), "path long, key binary"), "paths")
-    while True:
-        sizes = level.groupBy("path").agg(F.count("*").alias("size"), F.min("key").alias("hub")).where(F.col("size") > 1)
+    level = staged(classes.select("k", "sig").mapInArrow(_paths(trees, depth, second), "path long, k long"), "paths")
+    for turn in range(deeper + 1):
+        sizes = level.groupBy("path").agg(F.count("*").alias("size"), F.min("k").alias("hub")).where(F.col("size") > 1)
         nodes = staged(level.join(sizes, "path"), "nodes")
-        little = nodes.where(F.col("size") <= small).select("path", "key").join(classes.select("key", "sig"), "key")
-        got = little.repartition(n_parts, "path").sortWithinPartitions("path", "key").mapInArrow(_compare(int(COORDS * (percent / 100 - 0.24))), "a binary, b binary")
+        little = nodes.where(F.col("size") <= small).select("path", "k").join(classes.select("k", "sig"), "k")
+        got = little.repartition(n_parts, "path").sortWithinPartitions("path", "k").mapInArrow(_compare(int(COORDS * (percent / 100 - 0.24))), "a long, b long")
         edges = got if edges is None else edges.unionByName(got)
         big = nodes.where(F.col("size") > small)
         if big.isEmpty():
             break
-        if depth >= deepest:  # members agree on many tokens: all of them are candidates of one family
-            edges = edges.unionByName(big.where(F.col("key") != F.col("hub")).select(F.col("key").alias("a"), F.col("hub").alias("b")))
+        if turn == deeper:
+            edges = edges.unionByName(big.where(F.col("k") != F.col("hub")).select(F.col("k").alias("a"), F.col("hub").alias("b")))
             break
-        level = staged(big.select("path", "key").join(classes.select("key", "sig"), "key").mapInArrow(_paths(trees, 1, second), "path long, key binary"), "paths")
-        depth += 1
+        level = staged(big.select("path", "k").join(classes.select("k", "sig"), "k").mapInArrow(_paths(trees, 1, second), "path long, k long"), "paths")
 
-    families = components(edges).select(F.col("node").alias("key"), F.col("root").alias("fam"))
-    members = staged(families.join(classes.select("key", "cid", "n"), "key"), "families")
+    families = components(edges).select(F.col("node").alias("k"), F.col("root").alias("fam"))
+    members = staged(families.join(classes.select("k", "key", "cid", "n"), "k").drop("k"), "families")
     links = []
     turn = 0
     left = members.withColumn("main", F.lit(False))
@@ -331,12 +349,22 @@ def cluster(docs: DataFrame, width: int = 2, percent: int = 80, trees: int = 10,
     joined = classes.select("key", "cid").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = joined.groupBy("root").agg(F.min("cid").alias("component_id"))
     by_class = joined.join(least, "root").select("key", "component_id")
-    out = rows.select("doc_id", "n", "key").join(by_class, "key", "left")
+    out = rows.select("doc_id", "text_hash", "n", "key").join(by_class, "key", "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def cluster(docs: DataFrame, width: int = 2, percent: int = 80, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept; see ``labelled``."""
+    return labelled(docs, width, percent, **options).drop("text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each group: the one of the least id; all columns kept."""
-    gone = cluster(docs, width, percent, id_col=id_col, text_col=text_col, **options).where(~F.col("kept") & F.col("doc_id").isNotNull())
-    return docs.join(gone.select(F.col("doc_id").alias("_gone")).distinct(), F.col(id_col) == F.col("_gone"), "left_anti")
+    """``docs`` with one document of each group, the one of the least id; all columns kept.
+
+    Rows that repeat that id and its text stay together; exact deduplication is another step.
+    """
+    gone = labelled(docs, width, percent, id_col=id_col, text_col=text_col, **options).where(~F.col("kept") & F.col("doc_id").isNotNull())
+    gone = gone.select("doc_id", "text_hash").distinct()
+    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"))
+    return marked.join(gone.hint("merge"), (F.col("id") == F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_anti").select("row.*")

@@ -30,35 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import mix64, partitions, staged, text_batches, unstage
-
-_ODD = 0x9E3779B97F4A7C15 | 1
-_power: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n + 1).bit_length())
-    if size not in _power:
-        _power.clear()
-        up = np.full(size, _ODD, np.uint64)
-        down = np.full(size, pow(_ODD, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _power[size] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _power[size]
-
-
-def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of the words of ``raw``, without a Python word."""
-    buf = np.frombuffer(raw, np.uint8)
-    edge = np.diff(np.concatenate([[False], ~_BLANK[buf], [False]]).astype(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(len(buf))
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
-    return starts, ends, mix64((total[ends] - total[starts]) * down[starts])
-
+from plumbline.llm.shared import mix64, partitions, staged, text_batches, word_spans
 
 def winners(words: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window its fingerprint's word position, and the hash of every gram."""
@@ -332,7 +304,7 @@ def intervals(docs: DataFrame, width: int, gram: int, block_words: int) -> tuple
     again = prints.groupBy("print").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("print")
     hits = prints.join(again, "print").groupBy("doc_id", "digest").agg(F.collect_set("print").alias("hits"))
     on = texts["doc_id"].eqNullSafe(hits["doc_id"]) & (texts["digest"] == hits["digest"])
-    chosen = texts.join(hits, on).select(texts["doc_id"], texts["digest"], "text", "hits")
+    chosen = texts.join(hits.hint("merge"), on).select(texts["doc_id"], texts["digest"], "text", "hits")
     candidates = staged(chosen, "candidates", compression="zstd")
     segments = candidates.mapInArrow(_segments(width, gram), "print long, seg binary, doc_id long, digest binary, at array<int>")
     found = segments.repartition(n_parts, "print").sortWithinPartitions("print").mapInArrow(_search(width, block_words), "doc_id long, digest binary, lo int, hi int")
