@@ -1,4 +1,7 @@
-"""All registered queries and their SQL, by operator family."""
+"""All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from plumbline.operators import aggregates, dml, joins, predicates, scalars, scans, sets, sorting, windows  # noqa: F401
+from plumbline.operators.base import ORACLES, QUERIES
+from plumbline.plans import demo  # noqa: F401
+
+__all__ = ["ORACLES", "QUERIES"]
