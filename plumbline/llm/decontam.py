@@ -65,7 +65,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "
     else:
         probes = split.select("doc_id", "key", "crc", F.posexplode(F.concat("w", F.array(F.lit(SENTINEL)))).alias("pos", "anchor"))
         proposed = probes.join(table, "anchor")
-        found = proposed.join(split, ["key", "crc"]).where(proposed["doc_id"].eqNullSafe(split["doc_id"])).drop(split["doc_id"]).where(is_mark | same)
+        words = split.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), F.col("crc").alias("own_crc"), "w").dropDuplicates(["own_id", "own_key", "own_crc"])
+        own = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key")) & (F.col("crc") == F.col("own_crc"))
+        found = proposed.join(words, own).where(is_mark | same)
     rows = found.select(
         "doc_id",
         "key",
