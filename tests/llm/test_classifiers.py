@@ -1,0 +1,160 @@
+"""Toxicity (op5), secrets (op6), quality (op7) and the pipeline."""
+
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+pytest.importorskip("plumbline.llm")
+pipeline = pytest.importorskip("corpus_pipeline")
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from plumbline.llm import cotrain, queries, secrets, zdict
+from plumbline.llm.logit import Logit, auc
+from test_search import leaks_brute, near_brute
+
+BIG = "/root/testdata/sf0.1"
+SMALL = "/root/testdata/sf0.01"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, x string, m string, score string, value string, path string"
+EDGES = [(1, None), (2, ""), (3, "plain words only"), (3, "plain words only"), (None, "token = x9x9x9x9x9x9"), (4, "###$$$ %%% " * 20_000)]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    rows = [(i, t, "en" if i else None, None, None, "r", "x", "m", "s", "v", "p") for i, t in EDGES]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_logit_recovers_direction():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(2000, 3))
+    y = (x @ [2, -1, 0] + rng.logistic(size=2000) > 0).astype(float)
+    m = Logit(0.01).fit(x, y)
+    assert auc(y, m.decision(x)) > 0.85 and abs(m.plain[1][2]) < 0.3
+    assert auc(np.array([0, 1, 0, 1]), np.array([1, 1, 1, 1])) == 0.5
+
+
+def test_op5_held_out(spark):
+    got = queries.op5_compression_toxicity(spark, BIG).toPandas()
+    labels = spark.read.parquet(f"{BIG}/labels.parquet").toPandas()
+    assert len(got) == spark.read.parquet(f"{BIG}/documents.parquet").count() and got.score.between(0, 1).all()
+    assert (got.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got.doc_id]).all()
+    held = got[got.held_out].merge(labels, on="doc_id")
+    assert auc(held.toxic.values, held.score.values) > 0.85
+    assert (held.predicted[held.toxic == 0] == 1).mean() < 0.02
+
+
+def test_op5_finds_planted_segments():
+    rnd = random.Random(1)
+    syll = ["an", "ti", "on", "re", "st", "er", "ou", "le"]
+    word = lambda: "".join(rnd.choice(syll) for _ in range(rnd.randint(1, 4)))
+    text = lambda bad: " ".join(rnd.choice(["zqxflam", "grobnik"]) if bad and rnd.random() < 0.03 else word() for _ in range(300))
+    toxic, plain = [text(True) for _ in range(120)], [text(False) for _ in range(360)]
+    m = zdict.fit(toxic[:100], plain[:300], 0.25)
+    y = np.r_[np.ones(20), np.zeros(60)]
+    assert auc(y, np.array([m.score(t) for t in toxic[100:] + plain[300:]])) > 0.98
+    assert any(b"zqxfl" in s or b"qxfla" in s or b"flam" in s for s in zdict.contrast_segments(toxic, plain))
+
+
+def test_op5_edges(spark, edges):
+    m = zdict.fit(["bad thing"] * 12, ["good thing"] * 12, 0.5)
+    got = zdict.score(edges, m).collect()
+    assert len(got) == len(EDGES) and all(0 <= r["score"] <= 1 for r in got)
+    none = zdict.train(edges, spark.createDataFrame([(1, None)], "doc_id long, toxic int"))
+    assert zdict.score(edges.where("doc_id > 99"), none).count() == 0
+
+
+def test_op6_forest_held_out(spark):
+    rows = secrets.sample_findings(2000, seed=11)
+    forest = secrets.train(spark)
+    from plumbline.llm.shared import inline_rows
+    from pyspark.sql import functions as F
+
+    t = inline_rows(spark, rows, "value string, token string, before string, path string, label int")
+    feats = secrets.features(F.col("value"), F.col("token"), F.col("before"), F.col("path"))
+    x = t.select("label", *[v.alias(k) for k, v in feats.items()])
+    got = x.withColumn("p", forest.column(list(feats))).toPandas()
+    assert np.allclose(got.p, forest.prob(got[list(feats)].values))
+    assert auc(got.label.values, got.p.values) > 0.97
+
+
+def test_op6_planted_tokens(spark):
+    found = secrets.scan(spark.read.parquet(f"{BIG}/documents.parquet"), secrets.train(spark)).toPandas()
+    token = found.value.str.fullmatch(r"[0-9a-fA-F]{40}")
+    assert token.sum() > 100 and found.is_secret[token].mean() > 0.98 and found.is_secret[~token].mean() < 0.02
+
+
+def test_op6_candidates_match_brute_force(spark):
+    import re
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = Counter((r["doc_id"], v) for r in docs.collect() for w in (r["text"] or "").split() if re.search(secrets.HAS_RUN, w) for v in re.findall(secrets.RUN, w) if re.search("[0-9]", v))
+    assert Counter((r["doc_id"], r["value"]) for r in secrets.candidates(docs).collect()) == want
+
+
+def test_op6_edges(spark, edges):
+    forest = secrets.train(spark)
+    assert [r["value"] for r in secrets.scan(edges, forest).collect()] == ["x9x9x9x9x9x9"]
+    assert secrets.scan(edges.where("doc_id > 99"), forest).count() == 0
+
+
+def test_op7_quality(spark):
+    docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
+    seen, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1").toPandas()
+    got = cotrain.classify(docs, seen).toPandas().merge(held, on="doc_id")
+    assert auc(got.quality.values, got.score.values) > 0.99
+    assert (~got.accepted[got.quality == 1]).mean() < 0.01
+
+
+def test_op7_views_exchange_labels():
+    rng = np.random.default_rng(2)
+    y = rng.integers(0, 2, 3000)
+    x, m = rng.normal(size=(3000, 2)) + 3 * y[:, None], rng.normal(size=(3000, 2)) + 2 * y[:, None]
+    model = cotrain.fit(x[:60], m[:60], y[:60], x[60:2000], m[60:2000])
+    assert len(model.rounds) == 4 and sum(r["text_to_meta"] for r in model.rounds) > 100
+    z = np.column_stack([cotrain._clip(b + v[2000:] @ c) for v, (b, c) in ((x, model.text), (m, model.meta))])
+    assert auc(y[2000:], z @ model.joint[1]) > 0.97
+
+
+def test_op7_edges(spark, edges):
+    labels = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id long, quality int")
+    assert cotrain.classify(edges, labels).count() == len(EDGES)
+    kept = cotrain.keep_good(edges, labels)
+    assert kept.columns == edges.columns
+    assert cotrain.keep_good(edges.where("doc_id > 99"), labels).count() == 0
+
+
+def test_pipeline_stages(spark):
+    """Each stage after the classifier against brute force on what it was given."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    names = docs.columns
+    steps = dict(pipeline.STAGES)
+    assert list(steps) == ["quality", "exact_dedup", "near_dedup", "decontaminate", "bpe"]
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    good = steps["quality"](spark, docs, SMALL)
+    rows = [(r["doc_id"], r["text"]) for r in good.collect()]
+    ids = {i for i, _ in rows}
+    assert good.columns == names and sum(q == 1 and i not in ids for i, q in labels.items()) <= 0.01 * len(labels) and sum(q == 0 and i in ids for i, q in labels.items()) <= 0.02 * len(labels)
+    once = steps["exact_dedup"](spark, good, SMALL)
+    last = {}
+    for i, t in sorted(rows):
+        last[t] = i
+    assert once.columns == names and sorted(r["doc_id"] for r in once.collect()) == sorted(last.values())
+    rows = [(i, t) for t, i in last.items()]
+    apart = steps["near_dedup"](spark, once, SMALL)
+    want, _ = near_brute(rows, 5)
+    assert apart.columns == names and sorted(r["doc_id"] for r in apart.collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+    rows = [(i, t) for i, t in rows if want[i][1] == i]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    clean = steps["decontaminate"](spark, apart, SMALL)
+    bad = {r[0] for r in leaks_brute(rows, items) if r[5]}
+    assert bad and clean.columns == names and sorted(r["doc_id"] for r in clean.collect()) == sorted(i for i, _ in rows if i not in bad)
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    t.no_truncation()
+    t.no_padding()
+    texts = dict(rows)
+    for r in steps["bpe"](spark, clean, SMALL).collect():
+        assert r["ids"] == t.encode(texts[r["doc_id"]], add_special_tokens=False).ids and r["decoded"] == t.decode(r["ids"], skip_special_tokens=False)
