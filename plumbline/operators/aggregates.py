@@ -154,7 +154,7 @@ def g10_hypothetical_set(spark, sf_dir):
 @query("SELECT n_nationkey, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > n_regionkey * 1000) AS n FROM nation")
 def g11_outer_level_columns(spark, sf_dir):
     n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
-    hits = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("c_acctbal") > F.col("n_regionkey") * 1000).groupBy("n_nationkey").agg(F.count("*").alias("n"))
+    hits = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).where(F.col("c_acctbal") > F.col("n_regionkey") * 1000).groupBy("n_nationkey").agg(F.count("*").alias("n"))
     return n.select("n_nationkey").join(hits, "n_nationkey", "left").select("n_nationkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
