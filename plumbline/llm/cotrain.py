@@ -24,26 +24,35 @@ from plumbline.llm.logit import Logit
 SOURCES, LANGS = 16, 8
 
 
-def text_features(text: Column) -> dict[str, Column]:
-    """Shares over the whole text; an empty text has all zero but ``is_empty``."""
+TEXT_NAMES = ("letters", "capitals", "digits", "marks", "lines", "bare_marks", "distinct", "log_words", "distinct_by_log", "is_empty")
+
+
+def with_words(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` with ``t`` (the text, null as empty) and ``w`` (its words), each computed once."""
     t = F.coalesce(text, F.lit(""))
+    return rows.select("*", t.alias("t"), F.array_remove(F.split(t, r"\s+"), "").alias("w"))
+
+
+def text_features() -> list[Column]:
+    """Shares over the whole text, from ``t`` and ``w``, in the order of ``TEXT_NAMES``."""
+    t, w = F.col("t"), F.col("w")
     n = F.greatest(F.char_length(t), F.lit(1)).cast("double")
     without = lambda pattern: F.char_length(F.regexp_replace(t, pattern, ""))
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    n_words = F.greatest(F.size(words), F.lit(1)).cast("double")
-    alone = F.size(F.filter(words, lambda w: ~w.rlike(r"[\p{L}\p{N}]"))).cast("double")
-    return {
-        "letters": 1 - without(r"\p{L}+") / n,
-        "capitals": 1 - without(r"\p{Lu}+") / n,
-        "digits": 1 - without(r"\p{N}+") / n,
-        "marks": 1 - without(r"[^\p{L}\p{N}\s.,;:'’-]+") / n,
-        "lines": 1 - without(r"\n+") / n,
-        "bare_marks": alone / n_words,
-        "distinct": F.size(F.array_distinct(words)) / n_words,
-        "log_words": F.log1p(n_words),
-        "distinct_by_log": F.size(F.array_distinct(words)) / n_words * F.log1p(n_words),
-        "is_empty": (F.size(words) == 0).cast("double"),
-    }
+    n_words = F.greatest(F.size(w), F.lit(1)).cast("double")
+    alone = F.regexp_count(t, F.lit(r"(?<!\S)[^\p{L}\p{N}\s]+(?!\S)")).cast("double")
+    distinct = F.size(F.array_distinct(w)) / n_words
+    return [
+        1 - without(r"\p{L}+") / n,
+        1 - without(r"\p{Lu}+") / n,
+        1 - without(r"\p{N}+") / n,
+        1 - without(r"[^\p{L}\p{N}\s.,;:'’-]+") / n,
+        1 - without(r"\n+") / n,
+        alone / n_words,
+        distinct,
+        F.log1p(n_words),
+        distinct * F.log1p(n_words),
+        (F.size(w) == 0).cast("double"),
+    ]
 
 
 def meta_features(lang: Column, source: Column, size: Column) -> dict[str, Column]:
@@ -109,8 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_po
     chosen = drawn.unionByName(pool.select(F.col("doc_id").alias("_id"), F.lit(None).cast("int").alias("_y")))
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
     rows = plain.join(F.broadcast(chosen), plain["doc_id"] == chosen["_id"])
-    a, b = text_features(F.col("text")), meta_features(F.col("lang"), F.col("source"), F.col("n_chars"))
-    got = rows.select("_id", "_y", F.array(*a.values()).alias("x"), F.array(*b.values()).alias("m")).collect()
+    a, b = text_features(), meta_features(F.col("lang"), F.col("source"), F.col("n_chars"))
+    got = with_words(rows, F.col("text")).select("_id", "_y", F.array(*a).alias("x"), F.array(*b.values()).alias("m")).collect()
     got.sort(key=lambda r: (r["_id"] * 0x9E3779B97F4A7C15 & (1 << 64) - 1, r["x"]))
     lab, free = [r for r in got if r["_y"] is not None], [r for r in got if r["_y"] is None]
     grid = lambda rs, k, n: np.array([r[k] for r in rs], float).reshape(-1, n)
@@ -118,14 +127,17 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, max_po
 
 
 def _linear(plain: tuple[float, np.ndarray], features: Column) -> Column:
-    terms = F.zip_with(features, F.array(*[F.lit(float(c)) for c in plain[1]]), lambda f, c: f * c)
-    return F.aggregate(terms, F.lit(float(plain[0])), lambda a, t: a + t)
+    out = F.lit(float(plain[0]))
+    for i, c in enumerate(plain[1]):
+        out = out + F.lit(float(c)) * F.get(features, F.lit(i))
+    return out
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """row (all columns of ``docs``), z_text, z_meta and score, the combined probability of good quality."""
-    a, b = text_features(F.col("text")), meta_features(F.col("lang"), F.col("source"), F.col("n_chars"))
-    feats = docs.select(F.struct("*").alias("row"), F.array(*a.values()).alias("x"), F.array(*b.values()).alias("m"))
+    meta = meta_features(F.col("lang"), F.col("source"), F.col("n_chars"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("raw"), F.array(*meta.values()).alias("m"))
+    feats = with_words(rows, F.col("raw")).select("row", "m", F.array(*text_features()).alias("x"))
     held = lambda z: F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
     both = feats.select("row", held(_linear(model.text, F.col("x"))).alias("z_text"), held(_linear(model.meta, F.col("m"))).alias("z_meta"))
     bias, coef = model.joint
