@@ -58,7 +58,7 @@ class _State(dict):
 class MergeAutomaton:
     """Reads a BPE model of the tokenizers library (JSON file); tokens are numbered in merge order."""
 
-    def __init__(self, path: str, max_states: int = 300_000):
+    def __init__(self, path: str, max_states: int = 120_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -158,9 +158,12 @@ class MergeAutomaton:
 
 
 class Codec:
-    """Whole texts: normalise, pre-split, encode words through the automaton, remember words."""
+    """Whole texts: normalise, pre-split, encode words through the automaton, remember words.
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    The bounds hold a worker near 150 MB, which it keeps while it waits for its next task.
+    """
+
+    def __init__(self, path: str, max_words: int = 100_000):
         self.auto = MergeAutomaton(path)
         self.max_words = max_words
         self.memo: dict[str, tuple[int, str, str, bytes]] = {}
