@@ -16,9 +16,11 @@ byte and one step back per token.  Decoding emits the arc labels.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from plumbline.llm.shared import text_batches
 
 START = -1
+#: Words of more characters are encoded anew each time, so that what is remembered stays bounded.
+LONGEST = 200
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_OF = {chr(b): b for b in _PRINTABLE} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(_PRINTABLE))}
 #: White space as the tokenizer's own regular expressions see it.
@@ -99,6 +103,8 @@ class MergeAutomaton:
         self._reset()
 
     def _reset(self) -> None:
+        for state in getattr(self, "states", {}).values():  # they refer to each other; nothing else collects them
+            state.clear()
         self.start = _State(self, b"", (START,))
         self.states = {(b"", (START,)): self.start}
 
@@ -160,22 +166,25 @@ class MergeAutomaton:
 class Codec:
     """Whole texts: normalise, pre-split, encode words through the automaton, remember words.
 
-    The bounds hold a worker near 150 MB, which it keeps while it waits for its next task.
+    The bounds hold a worker near 250 MB, which it keeps while it waits for its next task.
     """
 
-    def __init__(self, path: str, max_words: int = 100_000):
+    def __init__(self, path: str, max_words: int = 250_000):
         self.auto = MergeAutomaton(path)
+        self.decimals = [str(i) for i in self.auto.ids]
         self.max_words = max_words
         self.memo: dict[str, tuple[int, str, str, bytes]] = {}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.auto.special)) + ")") if self.auto.special else None
 
     def _word(self, word: str) -> tuple[int, str, str, bytes]:
-        auto = self.auto
+        auto, decimals = self.auto, self.decimals
         tokens = auto.word(word.encode("utf-8"))
-        ids = [auto.ids[t] for t in tokens]
         if len(self.memo) >= self.max_words:
             self.memo.clear()
-        made = self.memo[word] = (len(ids), " ".join(map(str, ids)), " ".join([auto.labels[t] for t in tokens]), np.array(ids, "<u4").tobytes())
+        ids, labels = auto.ids, auto.labels
+        made = (len(tokens), " ".join([decimals[t] for t in tokens]), " ".join([labels[t] for t in tokens]), array("I", [ids[t] for t in tokens]).tobytes())
+        if len(word) <= LONGEST:
+            self.memo[word] = made
         return made
 
     def _plain(self, text: str) -> list[tuple]:
@@ -227,6 +236,13 @@ def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_tokens", "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the tables are many small objects without garbage cycles; walking them costs as much as encoding
+        try:
+            yield from coded(batches)
+        finally:
+            gc.enable()
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = codec(path).pieces
         for part, texts in text_batches(batches, "text"):
             cols: dict[str, list] = {k: [] for k in outputs}
