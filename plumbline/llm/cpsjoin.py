@@ -323,6 +323,8 @@ def labelled(docs: DataFrame, width: int = 2, percent: int = 80, miss: float = 1
             break
         level = staged(big.select("path", "k").join(classes.select("k", "sig"), "k").mapInArrow(_paths(trees, 1, second), "path long, k long"), "paths")
 
+    # Written first, so that no task holds two Python workers, which stay alive with all that they remember.
+    edges = staged(edges, "candidates")
     families = components(edges).select(F.col("node").alias("k"), F.col("root").alias("fam"))
     members = staged(families.join(classes.select("k", "key", "cid", "n"), "k").drop("k"), "families")
     links = []
@@ -344,7 +346,7 @@ def labelled(docs: DataFrame, width: int = 2, percent: int = 80, miss: float = 1
     for more in links[1:]:
         found = found.unionByName(more)
     if turn:  # links of one family come from several rounds
-        found = components(found).select(F.col("node").alias("a"), F.col("root").alias("b"))
+        found = components(staged(found, "links")).select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = staged(found.select(F.col("a").alias("key"), F.col("b").alias("root")), "roots")
     joined = classes.select("key", "cid").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = joined.groupBy("root").agg(F.min("cid").alias("component_id"))
