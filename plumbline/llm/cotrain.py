@@ -157,4 +157,6 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **optio
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **options) -> DataFrame:
     """The rows of ``docs`` that the combined views accept, with their own columns only."""
-    return scored(docs, train(docs, labels, **options)).where(F.col("score") >= threshold).select("row.*")
+    # A plain filter would be pushed below the features and repeat them once for each use.
+    kept = F.explode(F.when(F.col("score") >= threshold, F.array("row"))).alias("row")
+    return scored(docs, train(docs, labels, **options)).select(kept).select("row.*")
