@@ -8,7 +8,10 @@ windows name equal fingerprints, and the windows of one fingerprint occurrence a
 run, so a document falls into segments (a run's words) without sharing a window.  Only
 segments of fingerprints that occur twice or more leave their document.  They go to the
 shard of their fingerprint, where all their possible partners are: no shard reads
-another's text.
+another's text.  A fingerprint of more than ``hot`` occurrences (a phrase in many contexts) would be too
+much for a shard; its windows are routed one by one by a hash of all their words, so
+that a shard gets one segment, however often it stands.  A segment's words leave a task at
+most twice; its places stay behind and meet the answer in a join.
 
 Shard.  ``FMIndex`` keeps the distinct segments of a block (one that stands at two
 places is entered twice) as the wavelet matrix of their Burrows-Wheeler transform in
@@ -27,18 +30,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import mix64, partitions, staged, text_batches, word_spans
 
-def winners(words: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window its fingerprint's word position, and the hash of every gram."""
-    n = len(words) - gram + 1
+
+def _rolled(words: np.ndarray, length: int) -> np.ndarray:
+    """The hash of every run of ``length`` words."""
+    n = len(words) - length + 1
     h = np.zeros(n, np.uint64)
-    for i in range(gram):
+    for i in range(length):
         h = h * np.uint64(0xD6E8FEB86659FD93) + words[i : i + n]
-    h = mix64(h)
+    return mix64(h)
+
+
+def winners(words: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window its fingerprint's word position, and the hash of every gram."""
+    h = _rolled(words, gram)
     views = np.lib.stride_tricks.sliding_window_view(h, width - gram + 1)
     return views.argmin(axis=1) + np.arange(len(views)), h
 
@@ -57,9 +67,7 @@ def _fingerprints(width: int, gram: int):
                     continue
                 at, h = winners(words, width, gram)
                 at = at[np.flatnonzero(np.diff(at, prepend=-1))]
-                found, count = np.unique(h[at], return_counts=True)
-                # one that stands twice in this text counts as two occurrences
-                prints.append(np.concatenate([found, found[count > 1]]).view(np.int64))
+                prints.append(h[at].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(prints, pa.list_(pa.int64()))],
                 names=["doc_id", "digest", "n_words", "kept_all", "prints"],
@@ -68,29 +76,60 @@ def _fingerprints(width: int, gram: int):
     return run
 
 
+def _windows(width: int, gram: int):
+    """Hashes of the windows that name a hot fingerprint: (digest, windows)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_batches(batches, "text"):
+            out = []
+            for text, hot in zip(texts, part.column("hot").to_pylist()):
+                words = word_spans(text.encode("utf-8"))[2]
+                at, h = winners(words, width, gram)
+                out.append(_rolled(words, width)[np.isin(h[at], _prints(hot))].view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(out, pa.list_(pa.int64()))], names=["digest", "windows"])
+
+    return run
+
+
+def _prints(chosen: list[int] | None) -> np.ndarray:
+    return np.array(chosen or [], np.int64).view(np.uint64)
+
+
 def _segments(width: int, gram: int):
-    """Segments of the chosen fingerprints: (print, seg, doc_id, digest, at: word positions)."""
+    """Segments of the chosen fingerprints: (print, sid, seg, digest, at: word positions).
+
+    ``sid`` names a segment by its content; ``seg`` is null from a task's third place on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[bytes, int] = {}
         for part, texts in text_batches(batches, "text"):
             rows: list[tuple] = []
-            for text, doc_id, digest, chosen in zip(texts, part.column("doc_id").to_pylist(), part.column("digest").to_pylist(), part.column("hits").to_pylist()):
+            columns = (part.column(k).to_pylist() for k in ("digest", "hits", "hot", "windows"))
+            for text, digest, chosen, hot, shared in zip(texts, *columns):
                 raw = text.encode("utf-8")
                 starts, ends, words = word_spans(raw)
-                if len(words) < width:
-                    continue
                 at, h = winners(words, width, gram)
                 runs = np.flatnonzero(np.diff(at, prepend=-1))
                 last = np.append(runs[1:], len(at)) - 1
-                keep = np.isin(h[at[runs]], np.array(chosen, np.int64).view(np.uint64))
-                found: dict[tuple[int, bytes], list[int]] = {}
-                for p, lo, hi in zip(h[at[runs[keep]]].view(np.int64).tolist(), runs[keep].tolist(), last[keep].tolist()):
+                keep = np.isin(h[at[runs]], np.setdiff1d(_prints(chosen), _prints(hot)))
+                parts = [(h[at[runs[keep]]], runs[keep], last[keep])]
+                if shared:
+                    whole = _rolled(words, width)
+                    one = np.flatnonzero(np.isin(h[at], _prints(hot)) & np.isin(whole, _prints(shared)))
+                    parts.append((mix64(whole[one]), one, one))
+                prints, low, high = (np.concatenate(x) for x in zip(*parts))
+                found: dict[bytes, tuple[int, bytes, list[int]]] = {}
+                for p, lo, hi in zip(prints.view(np.int64).tolist(), low.tolist(), high.tolist()):
                     seg = b" ".join(raw[starts[lo] : ends[hi + width - 1]].split())
-                    found.setdefault((p, seg), []).append(lo)
-                rows += [(p, seg, doc_id, digest, spots) for (p, seg), spots in found.items()]
+                    found.setdefault(xxhash.xxh3_128_digest(seg), (p, seg, []))[2].append(lo)
+                for sid, (p, seg, spots) in found.items():
+                    before = sent.get(sid, 0)
+                    sent[sid] = min(2, before + len(spots))
+                    rows.append((p, sid, seg if before < 2 else None, digest, spots))
             if rows:
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int32())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["print", "seg", "doc_id", "digest", "at"])
+                kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int32())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["print", "sid", "seg", "digest", "at"])
 
     return run
 
@@ -196,81 +235,39 @@ class FMIndex:
 
 
 def _search(width: int, block_words: int):
-    """Per block of whole fingerprints: index, stream, report (doc_id, digest, lo, hi) in words.
+    """Per block of whole fingerprints: index, stream, report (sid, spans: lo and hi in words).
 
-    A fingerprint with more distinct segments than a block holds is indexed in blocks, and its segments
-    stream through each pair of blocks, so memory stays bounded.
+    A block ends once it holds ``block_words``; no fingerprint brings more than ``hot`` segments of
+    less than two windows.
     """
 
-    def solve(indexed: list[tuple[bytes, int]], asked: list[bytes]) -> list[list[tuple[int, int]]]:
+    def answers(block: dict[bytes, list]) -> pa.RecordBatch | None:
         ids: dict[bytes, int] = {}
-        coded = {}
-        for seg in {*asked, *(s for s, _ in indexed)}:
-            coded[seg] = np.array([ids.setdefault(w, len(ids) + 1) for w in seg.split()], np.int64)
-        entries = [coded[s] for s, n in indexed for _ in range(min(n, 2))]
-        return FMIndex(entries, len(ids)).repeats([coded[s] for s in asked], width)
-
-    def answers(groups: list[dict[bytes, list]]) -> Iterator[tuple]:
-        places = {seg: spots for g in groups for seg, spots in g.items()}
-        counts = [(seg, sum(len(at) for _, _, at in spots)) for seg, spots in places.items()]
-        blocks, room = [[]], block_words
-        for entry in counts:
-            size = entry[0].count(b" ") + 1
-            if room < size and blocks[-1] and len(groups) == 1:
-                blocks.append([])
-                room = block_words
-            blocks[-1].append(entry)
-            room -= size
-        found: dict[bytes, list] = {}
-        if len(blocks) == 1:
-            found = dict(zip(places, solve(counts, list(places))))
-        else:
-            for i, one in enumerate(blocks):
-                for other in blocks[i:]:
-                    both = one if one is other else one + other
-                    asked = [s for s, _ in both]
-                    for seg, spans in zip(asked, solve(both, asked)):
-                        found.setdefault(seg, []).extend(spans)
-        for seg, spans in found.items():
-            for lo, hi in set(spans):
-                for doc_id, digest, at in places[seg]:
-                    for start in at:
-                        yield doc_id, digest, start + lo, start + hi
+        coded = [np.array([ids.setdefault(w, len(ids) + 1) for w in seg.split()], np.int64) for seg, _ in block.values()]
+        entries = [c for c, (_, n) in zip(coded, block.values()) for _ in range(min(n, 2))]
+        spans = FMIndex(entries, len(ids)).repeats(coded, width)
+        got = [(sid, [{"lo": lo, "hi": hi} for lo, hi in found]) for sid, found in zip(block, spans) if found]
+        kinds = [pa.binary(), pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got), kinds)], names=["sid", "spans"]) if got else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: list[dict[bytes, list]] = []
-        out: list[tuple] = []
+        block: dict[bytes, list] = {}
         now, size = None, 0
-        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32()]
-
-        def pack(rows: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "digest", "lo", "hi"])
-
-        def drain() -> Iterator[pa.RecordBatch]:
-            rows = []
-            for row in answers(groups):
-                rows.append(row)
-                if len(rows) == 20_000:
-                    yield pack(rows)
-                    rows = []
-            if rows:
-                yield pack(rows)
-
         for batch in batches:
-            for p, seg, doc_id, digest, at in zip(*(c.to_pylist() for c in batch.columns)):
+            for p, sid, seg, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if p != now:
                     if size > block_words:
-                        yield from drain()
-                        groups, size = [], 0
-                    groups.append({})
+                        if got := answers(block):
+                            yield got
+                        block, size = {}, 0
                     now = p
-                spots = groups[-1].get(seg)
-                if spots is None:
-                    spots = groups[-1][seg] = []
+                entry = block.get(sid)
+                if entry is None:
+                    entry = block[sid] = [seg, 0]
                     size += seg.count(b" ") + 1
-                spots.append((doc_id, digest, at))
-        if groups:
-            yield from drain()
+                entry[1] += n
+        if block and (got := answers(block)):
+            yield got
 
     return run
 
@@ -288,10 +285,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = np.cumsum(gone)[:-1] > 0
             removed.append(int(gone.sum()))
             kept.append(b" ".join(words[~gone].tolist()).decode("utf-8"))
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "digest", "n_removed", "kept"])
+        yield pa.RecordBatch.from_arrays([part.column("digest"), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["digest", "n_removed", "kept"])
 
 
-def intervals(docs: DataFrame, width: int, gram: int, block_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def intervals(docs: DataFrame, width: int, gram: int, block_words: int, hot: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Per row facts; per distinct text its copies; and the repeated intervals of the
     texts that stand once, with those texts."""
     n_parts = partitions(docs.sparkSession)
@@ -301,26 +298,35 @@ def intervals(docs: DataFrame, width: int, gram: int, block_words: int) -> tuple
     # Rows that repeat an id and its text stand in here twice; both carry the same facts.
     reps = staged(rows.where(F.size("prints") > 0).join(copies, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "digest", "prints").dropDuplicates(["digest"]), "reps")
     prints = reps.select("doc_id", "digest", F.explode("prints").alias("print"))
-    again = prints.groupBy("print").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("print")
-    hits = prints.join(again, "print").groupBy("doc_id", "digest").agg(F.collect_set("print").alias("hits"))
+    again = prints.groupBy("print").agg(F.count("*").alias("c")).where(F.col("c") > 1)
+    hits = prints.join(again, "print").groupBy("doc_id", "digest").agg(F.collect_set("print").alias("hits"), F.collect_set(F.when(F.col("c") > hot, F.col("print"))).alias("hot"))
     on = texts["doc_id"].eqNullSafe(hits["doc_id"]) & (texts["digest"] == hits["digest"])
-    chosen = texts.join(hits.hint("merge"), on).select(texts["doc_id"], texts["digest"], "text", "hits")
-    candidates = staged(chosen, "candidates", compression="zstd")
-    segments = candidates.mapInArrow(_segments(width, gram), "print long, seg binary, doc_id long, digest binary, at array<int>")
-    found = segments.repartition(n_parts, "print").sortWithinPartitions("print").mapInArrow(_search(width, block_words), "doc_id long, digest binary, lo int, hi int")
-    spans = found.groupBy("digest").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    return rows, copies, candidates.dropDuplicates(["digest"]).join(spans, "digest").select("doc_id", "digest", "text", "spans")
+    chosen = texts.join(hits.hint("merge"), on).select(texts["digest"], "text", "hits", "hot")
+    candidates = staged(chosen.dropDuplicates(["digest"]), "candidates", compression="zstd")
+
+    windows = staged(candidates.where(F.size("hot") > 0).mapInArrow(_windows(width, gram), "digest binary, windows array<long>"), "windows")
+    each = windows.select("digest", F.explode("windows").alias("window"))
+    twice = each.groupBy("window").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("window")
+    shared = each.join(twice, "window").groupBy("digest").agg(F.collect_set("window").alias("windows"))
+
+    segments = staged(candidates.join(shared, "digest", "left").mapInArrow(_segments(width, gram), "print long, sid binary, seg binary, digest binary, at array<int>"), "segments")
+    sent = segments.where("seg is not null").select("print", "sid", "seg", F.size("at").alias("n"))
+    found = sent.repartition(n_parts, "print").sortWithinPartitions("print").mapInArrow(_search(width, block_words), "sid binary, spans array<struct<lo:int,hi:int>>")
+    places = segments.select("sid", "digest", "at").join(staged(found, "found"), "sid").select("digest", F.explode("at").alias("start"), "spans")
+    moved = F.transform("spans", lambda s: F.struct((s["lo"] + F.col("start")).alias("lo"), (s["hi"] + F.col("start")).alias("hi")))
+    spans = places.groupBy("digest").agg(F.flatten(F.collect_list(moved)).alias("spans"))
+    return rows, copies, candidates.join(spans, "digest").select("digest", "text", "spans")
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8, block_words: int = 400_000, keep_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8, block_words: int = 400_000, hot: int = 4000, keep_text: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with ``keep_text``, kept (null where nothing went).
 
     Null texts have no words; texts shorter than a window keep all; of texts that stand
     more than once every window repeats.  Rows that repeat an id are rows of their own.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows, copies, spans = intervals(plain, width, gram, block_words)
-    cut = spans.mapInArrow(_cut, "doc_id long, digest binary, n_removed long, kept string").select("digest", "n_removed", "kept")
+    rows, copies, spans = intervals(plain, width, gram, block_words, hot)
+    cut = spans.mapInArrow(_cut, "digest binary, n_removed long, kept string")
     cut = cut.withColumn("kept_sha256", F.sha2("kept", 256))
     if not keep_text:
         cut = cut.drop("kept")

@@ -176,8 +176,8 @@ def repeats_brute(docs, width):
     return Counter(out)
 
 
-@pytest.mark.parametrize("block", [400_000, 120])
-def test_op9_matches_brute_force(spark, block):
+@pytest.mark.parametrize("block, hot", [(400_000, 4000), (120, 4000), (400_000, 3), (120, 0)])
+def test_op9_matches_brute_force(spark, block, hot):
     rnd = random.Random(9)
     vocab = [f"v{i}" for i in range(40)]
     passages = [" ".join(rnd.choices(vocab, k=rnd.randint(30, 90))) for _ in range(6)]
@@ -189,7 +189,7 @@ def test_op9_matches_brute_force(spark, block):
         docs.append((i, "  \t".join(parts)))
     docs += [(200, "the " * 500), (201, "ab ba " * 100), (202, None), (203, ""), (204, docs[3][1]), (204, docs[3][1]), (None, docs[5][1]), (205, " ".join(passages[0].split()[:34])), (206, "é É " + passages[1].upper())]
     df = spark.createDataFrame([(*r, "r", 1, 2, "k", "d", "w") for r in docs], DOCS)
-    got = fmindex.remove_repeats(df, 35, block_words=block)
+    got = fmindex.remove_repeats(df, 35, block_words=block, hot=hot)
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got.collect()) == repeats_brute(docs, 35)
     assert fmindex.remove_repeats(df.where("doc_id > 999"), 35).count() == 0
 
