@@ -8,8 +8,8 @@ windows name equal fingerprints, and the windows of one fingerprint occurrence a
 run, so a document falls into segments (a run's words) without sharing a window.  Only
 segments of fingerprints that occur twice or more leave their document.  They go to the
 shard of their fingerprint, where all their possible partners are: no shard reads
-another's text.  A fingerprint of more than ``hot`` occurrences (a phrase in many contexts) would be too
-much for a shard; its windows are routed one by one by a hash of all their words, so
+another's text.  A fingerprint of more than ``hot`` different segments (a phrase in many contexts) would be
+too much for a shard; its windows are routed one by one by a hash of all their words, so
 that a shard gets one segment, however often it stands.  A segment's words leave a task at
 most twice; its places stay behind and meet the answer in a join.
 
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import mix64, partitions, staged, text_batches, word_spans
+from plumbline.llm.shared import mix64, partitions, powers, staged, text_batches, word_spans
 
 
 def _rolled(words: np.ndarray, length: int) -> np.ndarray:
@@ -53,10 +53,23 @@ def winners(words: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.nd
     return views.argmin(axis=1) + np.arange(len(views)), h
 
 
+def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window of each run of windows with one fingerprint occurrence."""
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return first, np.append(first[1:], len(at)) - 1
+
+
+def _contents(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the words of each span."""
+    up, down = powers(len(words))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])])
+    return mix64((total[end] - total[first]) * down[first])
+
+
 def _fingerprints(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_batches(batches, "text"):
-            n, sha, prints = [], [], []
+            n, sha, prints, contents = [], [], [], []
             for text in texts:
                 raw = (text or "").encode("utf-8")
                 words = word_spans(raw)[2]
@@ -64,13 +77,15 @@ def _fingerprints(width: int, gram: int):
                 sha.append(hashlib.sha256(b" ".join(raw.split())).hexdigest())
                 if len(words) < width:
                     prints.append([])
+                    contents.append([])
                     continue
                 at, h = winners(words, width, gram)
-                at = at[np.flatnonzero(np.diff(at, prepend=-1))]
-                prints.append(h[at].view(np.int64))
+                first, last = _runs(at)
+                prints.append(h[at[first]].view(np.int64))
+                contents.append(_contents(words, first, last + width).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(prints, pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "n_words", "kept_all", "prints"],
+                [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(prints, pa.list_(pa.int64())), pa.array(contents, pa.list_(pa.int64()))],
+                names=["doc_id", "digest", "n_words", "kept_all", "prints", "contents"],
             )
 
     return run
@@ -110,8 +125,7 @@ def _segments(width: int, gram: int):
                 raw = text.encode("utf-8")
                 starts, ends, words = word_spans(raw)
                 at, h = winners(words, width, gram)
-                runs = np.flatnonzero(np.diff(at, prepend=-1))
-                last = np.append(runs[1:], len(at)) - 1
+                runs, last = _runs(at)
                 keep = np.isin(h[at[runs]], np.setdiff1d(_prints(chosen), _prints(hot)))
                 parts = [(h[at[runs[keep]]], runs[keep], last[keep])]
                 if shared:
@@ -293,13 +307,14 @@ def intervals(docs: DataFrame, width: int, gram: int, block_words: int, hot: int
     texts that stand once, with those texts."""
     n_parts = partitions(docs.sparkSession)
     texts = docs.select("doc_id", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = staged(texts.mapInArrow(_fingerprints(width, gram), "doc_id long, digest binary, n_words long, kept_all string, prints array<long>"), "prints")
+    rows = staged(texts.mapInArrow(_fingerprints(width, gram), "doc_id long, digest binary, n_words long, kept_all string, prints array<long>, contents array<long>"), "prints")
     copies = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     # Rows that repeat an id and its text stand in here twice; both carry the same facts.
-    reps = staged(rows.where(F.size("prints") > 0).join(copies, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "digest", "prints").dropDuplicates(["digest"]), "reps")
-    prints = reps.select("doc_id", "digest", F.explode("prints").alias("print"))
-    again = prints.groupBy("print").agg(F.count("*").alias("c")).where(F.col("c") > 1)
-    hits = prints.join(again, "print").groupBy("doc_id", "digest").agg(F.collect_set("print").alias("hits"), F.collect_set(F.when(F.col("c") > hot, F.col("print"))).alias("hot"))
+    reps = staged(rows.where(F.size("prints") > 0).join(copies, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "digest", F.arrays_zip("prints", "contents").alias("prints")).dropDuplicates(["digest"]), "reps")
+    prints = reps.select("doc_id", "digest", F.explode("prints").alias("p")).select("doc_id", "digest", F.col("p.prints").alias("print"), F.col("p.contents").alias("content"))
+    different = prints.groupBy("print", "content").agg(F.count("*").alias("c"))
+    again = different.groupBy("print").agg(F.sum("c").alias("c"), F.count("*").alias("different")).where(F.col("c") > 1).select("print", "different")
+    hits = prints.drop("content").join(again, "print").groupBy("doc_id", "digest").agg(F.collect_set("print").alias("hits"), F.collect_set(F.when(F.col("different") > hot, F.col("print"))).alias("hot"))
     on = texts["doc_id"].eqNullSafe(hits["doc_id"]) & (texts["digest"] == hits["digest"])
     chosen = texts.join(hits.hint("merge"), on).select(texts["digest"], "text", "hits", "hot")
     candidates = staged(chosen.dropDuplicates(["digest"]), "candidates", compression="zstd")

@@ -87,7 +87,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number, and of its inverse, modulo 2^64; more than ``n`` of each."""
     size = 1 << max(16, (n + 1).bit_length())
     if size not in _power:
         _power.clear()
@@ -103,7 +104,7 @@ def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     buf = np.frombuffer(raw, np.uint8)
     edge = np.diff(np.concatenate([[False], ~_BLANK[buf], [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    up, down = _powers(len(buf))
+    up, down = powers(len(buf))
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=total[1:])
     return starts, ends, mix64((total[ends] - total[starts]) * down[starts])
