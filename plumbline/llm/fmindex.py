@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import mix64, partitions, powers, staged, text_batches, word_spans
+from plumbline.llm.shared import mix64, partitions, powers, staged, text_batches, unstage, word_spans
 
 
 def _rolled(words: np.ndarray, length: int) -> np.ndarray:
@@ -69,7 +69,7 @@ def _contents(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarr
 def _fingerprints(width: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_batches(batches, "text"):
-            n, sha, prints, contents = [], [], [], []
+            n, sha, prints, contents, times = [], [], [], [], []
             for text in texts:
                 raw = (text or "").encode("utf-8")
                 words = word_spans(raw)[2]
@@ -78,14 +78,17 @@ def _fingerprints(width: int, gram: int):
                 if len(words) < width:
                     prints.append([])
                     contents.append([])
+                    times.append([])
                     continue
                 at, h = winners(words, width, gram)
                 first, last = _runs(at)
-                prints.append(h[at[first]].view(np.int64))
-                contents.append(_contents(words, first, last + width).view(np.int64))
+                content, where, count = np.unique(_contents(words, first, last + width), return_index=True, return_counts=True)
+                prints.append(h[at[first[where]]].view(np.int64))
+                contents.append(content.view(np.int64))
+                times.append(count.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(prints, pa.list_(pa.int64())), pa.array(contents, pa.list_(pa.int64()))],
-                names=["doc_id", "digest", "n_words", "kept_all", "prints", "contents"],
+                [part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(prints, pa.list_(pa.int64())), pa.array(contents, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))],
+                names=["doc_id", "digest", "n_words", "kept_all", "prints", "contents", "times"],
             )
 
     return run
@@ -307,24 +310,29 @@ def intervals(docs: DataFrame, width: int, gram: int, block_words: int, hot: int
     texts that stand once, with those texts."""
     n_parts = partitions(docs.sparkSession)
     texts = docs.select("doc_id", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("digest"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = staged(texts.mapInArrow(_fingerprints(width, gram), "doc_id long, digest binary, n_words long, kept_all string, prints array<long>, contents array<long>"), "prints")
+    rows = staged(texts.mapInArrow(_fingerprints(width, gram), "doc_id long, digest binary, n_words long, kept_all string, prints array<long>, contents array<long>, times array<int>"), "prints")
     copies = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     # Rows that repeat an id and its text stand in here twice; both carry the same facts.
-    reps = staged(rows.where(F.size("prints") > 0).join(copies, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "digest", F.arrays_zip("prints", "contents").alias("prints")).dropDuplicates(["digest"]), "reps")
-    prints = reps.select("doc_id", "digest", F.explode("prints").alias("p")).select("doc_id", "digest", F.col("p.prints").alias("print"), F.col("p.contents").alias("content"))
-    different = prints.groupBy("print", "content").agg(F.count("*").alias("c"))
-    again = different.groupBy("print").agg(F.sum("c").alias("c"), F.count("*").alias("different")).where(F.col("c") > 1).select("print", "different")
-    hits = prints.drop("content").join(again, "print").groupBy("doc_id", "digest").agg(F.collect_set("print").alias("hits"), F.collect_set(F.when(F.col("different") > hot, F.col("print"))).alias("hot"))
+    reps = staged(rows.where(F.size("prints") > 0).join(copies, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep"))).select("doc_id", "digest", F.arrays_zip("prints", "contents", "times").alias("prints")).dropDuplicates(["digest"]), "reps")
+    prints = reps.select("doc_id", "digest", F.explode("prints").alias("p")).select("doc_id", "digest", F.col("p.prints").alias("print"), F.col("p.contents").alias("content"), F.col("p.times").alias("times"))
+    different = prints.groupBy("print", "content").agg(F.sum("times").alias("c"))
+    # Written, so that the joins below read plain exchanges, which adaptive execution can split.
+    again = staged(different.groupBy("print").agg(F.sum("c").alias("c"), F.count("*").alias("different")).where(F.col("c") > 1).select("print", "different"), "again")
+    hits = prints.drop("content", "times").join(again, "print").groupBy("doc_id", "digest").agg(F.collect_set("print").alias("hits"), F.collect_set(F.when(F.col("different") > hot, F.col("print"))).alias("hot"))
     on = texts["doc_id"].eqNullSafe(hits["doc_id"]) & (texts["digest"] == hits["digest"])
     chosen = texts.join(hits.hint("merge"), on).select(texts["digest"], "text", "hits", "hot")
     candidates = staged(chosen.dropDuplicates(["digest"]), "candidates", compression="zstd")
+    for done in (reps, again):
+        unstage(done)
 
     windows = staged(candidates.where(F.size("hot") > 0).mapInArrow(_windows(width, gram), "digest binary, windows array<long>"), "windows")
     each = windows.select("digest", F.explode("windows").alias("window"))
-    twice = each.groupBy("window").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("window")
+    twice = staged(each.groupBy("window").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("window"), "twice")
     shared = each.join(twice, "window").groupBy("digest").agg(F.collect_set("window").alias("windows"))
 
     segments = staged(candidates.join(shared, "digest", "left").mapInArrow(_segments(width, gram), "print long, sid binary, seg binary, digest binary, at array<int>"), "segments")
+    for done in (windows, twice):
+        unstage(done)
     sent = segments.where("seg is not null").select("print", "sid", "seg", F.size("at").alias("n"))
     found = sent.repartition(n_parts, "print").sortWithinPartitions("print").mapInArrow(_search(width, block_words), "sid binary, spans array<struct<lo:int,hi:int>>")
     places = segments.select("sid", "digest", "at").join(staged(found, "found"), "sid").select("digest", F.explode("at").alias("start"), "spans")
