@@ -14,10 +14,12 @@
     goes through rounds of hubs (``_hub_round``), each compared with all members in
     parallel, until what may still be linked is bounded.
 
-Recall at the threshold t: a level keeps a pair with 1 - (1 - tp)(1 - (1 - t)p) where p is
-the rate of the level below.  Depth follows the logarithm of the number of classes, as
-recursion to small nodes would, and the number of trees follows from depth and
-``miss``, the probability that a pair at exactly the threshold shares no node.
+Recall at the threshold t: for a pair that agrees on a share p of the coordinates a level
+keeps it with about 1 - (1 - pq)(1 - p(1/t - 1)q) where q is the rate of the level below.
+Depth follows the logarithm of the number of classes, as recursion to small nodes would.
+The number of trees follows from ``miss``, the probability that a pair at exactly the
+threshold shares no node at the last level to which crowded nodes branch, averaged over
+the binomial agreement of the coordinates, which all trees share.
 Nodes, edges and families name a class by eight bytes of its digest; two classes that
 share them fall into one family and are told apart there.
 """
@@ -281,13 +283,31 @@ def _hub_round(members: DataFrame, docs: DataFrame, width: int, percent: int, hu
     return links, left.join(outside, "fam", "left_semi").select("fam", "key", "cid", "n", "main")
 
 
-def plan_trees(classes: int, percent: int, miss: float, small: int = 64) -> tuple[int, int]:
-    """(depth, trees) for so many classes."""
-    t, keep = percent / 100, 1.0
+def _shared(agree: int, second: float, levels: int) -> float:
+    """Probability that a pair agreeing on ``agree`` coordinates shares a node of one tree so many levels down."""
+    one = agree / COORDS
+    both = one * (agree - 1) / (COORDS - 1)
+    keep = 1.0
+    for _ in range(levels):
+        lost = 1 - keep
+        keep = 1 - (1 - second) * (1 - one * keep) - second * (1 - 2 * one + both + 2 * (one - both) * lost + both * lost**2)
+    return keep
+
+
+def plan_trees(classes: int, percent: int, miss: float, small: int = 64, deeper: int = 0) -> tuple[int, int]:
+    """(depth, trees) for so many classes, where crowded nodes branch on for ``deeper`` more levels.
+
+    All trees read the same coordinates, so the miss is averaged over how many of them a
+    pair at the threshold agrees on; trees are independent only for a given number.
+    """
+    t = percent / 100
     depth = max(2, round(math.log(max(2, classes)) / math.log(small)))
-    for _ in range(depth):
-        keep = 1 - (1 - t * keep) * (1 - (1 - t) * keep)
-    return depth, math.ceil(math.log(miss) / math.log(1 - keep))
+    odds = np.array([math.comb(COORDS, k) * t**k * (1 - t) ** (COORDS - k) for k in range(COORDS + 1)])
+    lost = np.array([1 - _shared(k, 1 / t - 1, depth + deeper) for k in range(COORDS + 1)])
+    trees = 1
+    while float(odds @ lost**trees) > miss:
+        trees += 1
+    return depth, trees
 
 
 def labelled(docs: DataFrame, width: int = 2, percent: int = 80, miss: float = 1e-5, small: int = 1000, deeper: int = 2, family_work: float = 3e9, family_items: int = 4_000_000, hubs: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,7 +325,7 @@ def labelled(docs: DataFrame, width: int = 2, percent: int = 80, miss: float = 1
     live = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = staged(live.groupBy("key", "k").agg(F.min("doc_id").alias("cid"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     second = 100 / percent - 1
-    depth, trees = plan_trees(classes.count(), percent, miss)
+    depth, trees = plan_trees(classes.count(), percent, miss, deeper=deeper)
 
     edges = None
     level = staged(classes.select("k", "sig").mapInArrow(_paths(trees, depth, second), "path long, k long"), "paths")

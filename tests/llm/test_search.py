@@ -96,6 +96,17 @@ def test_trees_meet_the_target():
         assert (1 - keep) ** trees <= 1e-5 and trees < 40
 
 
+def test_op4_crowded_nodes_keep_the_target(spark):
+    """4,000 pairs at exactly 0.8 whose nodes all count as crowded, so each branches on to the last level."""
+    rows = []
+    for i in range(4000):
+        common = [f"c{i}x{k}" for k in range(40)]
+        for side in "ab":
+            rows.append((len(rows), " ".join(common + [f"{side}{i}x{k}" for k in range(5)])))
+    got = {r["doc_id"]: r["component_id"] for r in cpsjoin.cluster(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80, small=1).collect()}
+    assert sum(got[i + 1] != i for i in range(0, 8000, 2)) == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(200, 100), (100, 300), (7, 7)]
     got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
