@@ -1,7 +1,9 @@
 """Secret scanning with a random forest over candidate strings.
 
 Built from DataFrame functions only.  Candidates are runs of ``MIN_LENGTH`` or more key
-characters with a digit among them; each carries the words around it.  Features are
+characters with a digit among them, the value assigned to a key word or quoted after it,
+whatever its length and characters, and the password of a URL; each carries the words
+around it.  Features are
 length, character transitions, entropy, dictionary coverage, the path or source of
 the document, and neighbouring words.  The forest is trained on the driver from a
 bounded table of labelled findings and compiled to SQL conditions, so scoring runs
@@ -33,18 +35,30 @@ WORDS = (
     "white window with word work world www xml year zone the and for"
 ).split()
 KEYISH = r"(?i)(token|secret|passw|pwd|api.?key|apikey|auth|credential|bearer|private|access)"
+#: A key word, the rest of its name, and the value that is assigned to it or quoted after it (group 1).
+KEYED = (
+    KEYISH
+    + r"""[\w.-]{0,60}["'`\])]{0,3}(?:\s{0,20}(?:=>|:=|={1,3}|:)\s{0,20}(?:(?:bearer|basic)\s{1,20})?|(?<=bearer)\s{1,20}|[\s(]{1,20}(?=["'`]))"""
+    + r"""("(?:[^"\\\n]++|\\.){1,1000}+"|'(?:[^'\\\n]++|\\.){1,1000}+'|`[^`\n]++`|[^\s"'`]++)"""
+).replace("(token", "(?:token", 1)
+#: The password of scheme://user:password@host (group 1).
+LOGIN = r"://[^\s/:@]*:([^\s/\"'`]+)@"
+#: Words, where a key word and its value stay together.
+KEYED_WORDS = rf"\S*?{KEYED}|\S+"
 PLAINISH = r"(?i)(commit|sha|hash|digest|checksum|md5|uuid|guid|build|version|rev|order|invoice|phone|card|isbn|id)"
-NAMES = ("length", "digits", "upper", "transitions", "distinct", "entropy", "hex", "symbols", "coverage", "slashes", "dashes", "path_test", "path_config", "key_word", "plain_word", "assigned", "quoted", "only_digits")
+NAMES = ("length", "digits", "upper", "transitions", "distinct", "entropy", "hex", "symbols", "coverage", "slashes", "dashes", "path_test", "path_config", "key_word", "plain_word", "assigned", "quoted", "only_digits", "login")
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """doc_id, nth, value, token, before, after, path for every candidate in whole texts."""
-    rows = docs.where(F.col(text_col).rlike(HAS_RUN)).select(
+    text = F.col(text_col)
+    has = lambda c: c.rlike(HAS_RUN) | c.rlike(KEYED) | c.rlike(LOGIN)
+    rows = docs.where(has(text)).select(
         F.col(id_col).cast("long").alias("doc_id"),
         (F.col(path_col) if path_col in docs.columns else F.lit(None)).cast("string").alias("path"),
-        F.split(F.col(text_col), r"\s+").alias("w"),
+        F.when(text.rlike(KEYED), F.regexp_extract_all(text, F.lit(KEYED_WORDS), F.lit(0))).otherwise(F.split(text, r"\s+")).alias("w"),
     )
-    spots = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get("w", i).rlike(HAS_RUN))
+    spots = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: has(F.get("w", i)))
     at = F.transform(
         spots,
         lambda i: F.struct(
@@ -54,7 +68,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
     )
     found = rows.select("doc_id", "path", F.posexplode(at).alias("spot", "s"))
-    each = found.select("doc_id", "path", "spot", "s.*", F.posexplode(F.filter(F.regexp_extract_all("s.token", F.lit(RUN), F.lit(0)), lambda v: v.rlike("[0-9]"))).alias("part", "value"))
+    runs = F.filter(F.regexp_extract_all("s.token", F.lit(RUN), F.lit(0)), lambda v: v.rlike("[0-9]"))
+    bare = lambda v: F.regexp_replace(v, r"""^["'`]|["'`]$|[,;)\]}]+$""", "")
+    named = F.concat(F.transform(F.regexp_extract_all("s.token", F.lit(KEYED), F.lit(1)), bare), F.regexp_extract_all("s.token", F.lit(LOGIN), F.lit(1)))
+    more = F.array_except(F.filter(named, lambda v: v != ""), runs)
+    each = found.select("doc_id", "path", "spot", "s.*", F.posexplode(F.concat(runs, more)).alias("part", "value"))
     nth = F.col("spot") * 1000 + F.col("part")
     return each.select("doc_id", nth.cast("long").alias("nth"), "value", "token", "before", "after", "path")
 
@@ -88,9 +106,10 @@ def features(value: Column, token: Column, before: Column, path: Column) -> dict
         flag(place.rlike("(?i)(config|env|prod|secret|deploy|settings)")),
         flag(prior.rlike(KEYISH) | token.rlike(KEYISH)),
         flag(prior.rlike(PLAINISH)),
-        flag(prior.rlike("[=:]$") | token.rlike(r"[A-Za-z_]+[=:]")),
+        flag(prior.rlike("[=:]$") | token.rlike(r"""[A-Za-z_]+["'`\])]*\s*[=:]""")),
         flag(token.rlike("[\"'`]")),
         flag(value.rlike("^[0-9-]+$")),
+        flag(token.contains(F.concat(F.lit(":"), value, F.lit("@")))),
     )
     return dict(zip(NAMES, cols))
 
@@ -111,10 +130,14 @@ def sample_findings(n: int = 3000, seed: int = 7) -> list[dict]:
         path = rnd.choice(["src1", "src7", "app/config.env", "deploy/settings.py", "tests/fixture.json", "docs/example.md", ""])
         if label:
             value = rnd.choice([lambda: pick(hexa, rnd.choice([32, 40, 48, 64])), lambda: pick(b64, rnd.randint(24, 60)), lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, 16), lambda: "ghp_" + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: pick(alnum, rnd.randint(16, 40))])()
-            if not any(c.isdigit() for c in value):
-                value += "7"
+            short = i % 5 < 2
+            if short:
+                value = rnd.choice([lambda: pick(string.ascii_letters, rnd.randint(8, 40)), lambda: pick(alnum + "!#$%&*.@:?", rnd.randint(6, 20)), lambda: rnd.choice(WORDS).title() + pick(string.digits, rnd.randint(0, 4)) + pick("!#$%&*.@", rnd.randint(1, 2)), lambda: invented() + pick(string.digits + "!&", rnd.randint(1, 3)), lambda: " ".join(words(4))])()
             key = rnd.choice(keys)
             before, token = rnd.choice([(f"{key} =", f'"{value}"'), (f"{invented()} {key}:", value), (f"{invented()} {invented()}", f"{key}={value}"), (f"export {key.upper()}=", value), ("Authorization: Bearer", value), (f"{key} =", f"'{value}';")])
+            if short:
+                before = f"{invented()} {rnd.choice(WORDS)}"
+                token = rnd.choice([f'{key} = "{value}"', f"{key}: '{value}'", f'"{key}":"{value}"'] + [f"{key}={value}", f"{key}: {value}", f"{rnd.choice(WORDS)}://{invented()}:{value}@{invented()}"] * (" " not in value))
         else:
             kind = rnd.randrange(9)
             value = [
@@ -130,6 +153,10 @@ def sample_findings(n: int = 3000, seed: int = 7) -> list[dict]:
             ][kind]()
             before = {0: rnd.choice(["card number", f"{invented()} {invented()}", "order id:"]), 1: rnd.choice(["uuid =", "request id"]), 2: rnd.choice(["commit", "sha1 checksum", "in commit"]), 8: rnd.choice(["token =", "password:"])}.get(kind, rnd.choice([f"{invented()} {invented()}", "see file", "version ="]))
             token = value if rnd.random() < 0.7 else f'"{value}"'
+            if i % 5 < 2:
+                value = rnd.choice([lambda: rnd.choice(["true", "false", "null", "None", "str", "string", "required", "optional", "bytes", "int", "a", "the", "is", "not"]), lambda: rnd.choice(WORDS), lambda: "_".join(words(2)), lambda: f"get_{rnd.choice(WORDS)}(", lambda: "${" + rnd.choice(WORDS).upper() + "}", lambda: f"<{'-'.join(words(2))}>", lambda: pick("0x*", 1) * rnd.randint(3, 8)])()
+                before, key = f"{invented()} {rnd.choice(WORDS)}", rnd.choice(keys)
+                token = rnd.choice([f"{key} = {value}", f"{key}: {value}", f"{key}={value}", f'{key} = "{value}"'])
         rows.append({"value": value, "token": token, "before": before, "path": path, "label": label})
     return rows
 

@@ -95,6 +95,23 @@ def test_op6_candidates_match_brute_force(spark):
     assert Counter((r["doc_id"], r["value"]) for r in secrets.candidates(docs).collect()) == want
 
 
+def test_op6_named_values(spark):
+    """Short, wordy and punctuated values after key words, and passwords of URLs."""
+    want = {
+        1: ('set password = "Tr0ub4dor&3!" here', "Tr0ub4dor&3!"),
+        2: ("see postgres://user:hunt.er@host/db now", "hunt.er"),
+        3: ("api_token: kWqZrTbNxLpMvJhGfDsA", "kWqZrTbNxLpMvJhGfDsA"),
+        4: ("PASSWORD=s3cr!t", "s3cr!t"),
+        5: ("Authorization: Bearer QwErTyZxCvBnPlMkJh", "QwErTyZxCvBnPlMkJh"),
+        6: ('{"name": "x", "client_secret": "pa$$ wo#rd"}', "pa$$ wo#rd"),
+    }
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in want.items()] + [(7, "a password is required: see the page")], "doc_id long, text string")
+    got = secrets.scan(docs, secrets.train(spark)).collect()
+    assert {(k, v) for k, (_, v) in want.items()} <= {(r["doc_id"], r["value"]) for r in got if r["is_secret"]}
+    assert not any(r["doc_id"] == 7 and r["is_secret"] for r in got)
+    assert not any(r["is_secret"] for r in secrets.scan(spark.createDataFrame([(1, "token: string"), (2, "password = None")], "doc_id long, text string"), secrets.train(spark)).collect())
+
+
 def test_op6_edges(spark, edges):
     forest = secrets.train(spark)
     assert [r["value"] for r in secrets.scan(edges, forest).collect()] == ["x9x9x9x9x9x9"]
