@@ -19,3 +19,8 @@ def test_query(spark, duck, name):
 def test_wrapped(spark, duck, name):
     QUERIES[name](spark, SF).createOrReplaceTempView("inner_query")
     assert_agrees(spark.sql("WITH q AS (SELECT * FROM inner_query) SELECT * FROM q"), duck, ORACLES[name])
+
+
+def test_table_function_takes_all_events(spark):
+    got = QUERIES["s8_table_function"](spark, SF).select("event_id").distinct()
+    assert got.count() == spark.read.parquet(f"{SF}/events.parquet").where("event_type IS NOT NULL").select("event_id").distinct().count() > 50
