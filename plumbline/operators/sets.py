@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,18 +35,19 @@ def u6_materialized(spark, sf_dir):
     return t.where("n > 12").select("o_custkey").join(t, "o_custkey")
 
 
-def closure(start: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def closure(start: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``WITH RECURSIVE ... UNION`` over (node) along edges (src, dst): each round joins only
-    what is new and drops what was seen; it ends when a round finds nothing."""
+    what is new and drops what was seen; it ends when a round finds nothing, and fails where ``max_rounds`` is given and reached."""
     seen = materialized(start.distinct(), "seen")
     fresh = seen
-    for _ in range(max_rounds):
+    for turn in itertools.count(1):
         step = fresh.join(edges, fresh["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         fresh = materialized(step.join(seen, "node", "left_anti"), "fresh")
         if fresh.isEmpty():
             return seen
+        if turn == max_rounds:
+            raise RuntimeError(f"closure is not complete after {max_rounds} rounds")
         seen = materialized(seen.unionByName(fresh), "seen")
-    return seen
 
 
 _EDGES = "SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst FROM nation"

@@ -58,6 +58,14 @@ def test_repeated_grouping_sets(spark):
     assert sorted((r["a"] or "", r["n"]) for r in out.collect()) == [("", 2), ("x", 1), ("x", 1), ("y", 1), ("y", 1)]
 
 
+def test_closure_is_complete_or_fails(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(5)], "src int, dst int")
+    start = spark.createDataFrame([(0,)], "node int")
+    assert sets.closure(start, chain).count() == sets.closure(start, chain, max_rounds=6).count() == 6
+    with pytest.raises(RuntimeError):
+        sets.closure(start, chain, max_rounds=2)
+
+
 def test_closure_stops_on_cycle(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "src int, dst int")
     assert sorted(r["node"] for r in sets.closure(spark.createDataFrame([(1,)], "node int"), edges).collect()) == [1, 2, 3]
