@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import pg
@@ -59,12 +59,19 @@ def in_values(x: Column, values: list) -> Column:
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT unnest(generate_series(1, 1500, 3)))")
 def p23_spread(spark, sf_dir):
-    """A list above a thousand values becomes a relation and a semi join."""
-    keys = list(range(1, 1501, 3))
-    orders = table(spark, sf_dir, "orders")
+    return spread(table(spark, sf_dir, "orders"), "o_custkey", list(range(1, 1501, 3))).select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT unnest(generate_series(1, 4500, 3)))")
+def p23_spread_semi_join(spark, sf_dir):
+    return spread(table(spark, sf_dir, "orders"), "o_custkey", list(range(1, 4501, 3))).select("o_orderkey")
+
+
+def spread(df: DataFrame, col: str, keys: list[int]) -> DataFrame:
+    """``col IN $..keys``; a list above a thousand values becomes a relation and a semi join."""
     if len(keys) <= 1000:
-        return orders.where(in_values(F.col("o_custkey"), keys)).select("o_orderkey")
-    return orders.join(spark.createDataFrame([(k,) for k in keys], "k long"), F.col("o_custkey") == F.col("k"), "left_semi").select("o_orderkey")
+        return df.where(in_values(F.col(col), keys))
+    return df.join(df.sparkSession.createDataFrame([(k,) for k in keys], "_k long"), F.col(col) == F.col("_k"), "left_semi")
 
 
 @query("SELECT n_nationkey, n_nationkey * 2 AS doubled, upper(n_name) || '!' AS loud FROM nation")

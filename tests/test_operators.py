@@ -24,3 +24,8 @@ def test_wrapped(spark, duck, name):
 def test_table_function_takes_all_events(spark):
     got = QUERIES["s8_table_function"](spark, SF).select("event_id").distinct()
     assert got.count() == spark.read.parquet(f"{SF}/events.parquet").where("event_type IS NOT NULL").select("event_id").distinct().count() > 50
+
+
+def test_spread_has_both_forms(spark):
+    plans = [QUERIES[n](spark, SF)._jdf.queryExecution().optimizedPlan().toString() for n in ("p23_spread", "p23_spread_semi_join")]
+    assert ["LeftSemi" in p for p in plans] == [False, True]
