@@ -167,13 +167,36 @@ def test_op3_overflow_moves_clockwise():
     assert [(s["lo"], s["hi"], s["shard"]) for s in segs] == [(0, 2, 0), (2, 4, 1), (4, 6, 2)]
 
 
-def test_op3_moves_few_rows_with_one_more_row():
-    rnd = random.Random(2)
-    points = ring.ring_points(16, 64)
-    counts = {a: rnd.randint(0, 40) for a in range(len(points))}
-    place = lambda c: {(s["arc"], k): s["shard"] for s in ring.place_arcs(points, c, 16) for k in range(s["lo"], s["hi"])}
-    a, b = place(counts), place(counts | {5: counts[5] + 1})
-    assert sum(a[k] != b[k] for k in a) < 0.05 * len(a)
+def _placed(spark, rows, shards, **options):
+    docs = spark.createDataFrame(rows, "doc_id long, text string") if isinstance(rows, list) else rows
+    return sorted((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in ring.shard_rows(docs, shards, **options).collect())
+
+
+def test_op3_layout_of_the_input_has_no_say(spark):
+    rows = [(i * 7919 % 100_003, f"t{i % 50}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert _placed(spark, docs.repartition(13), 16) == _placed(spark, docs.orderBy("text").coalesce(2), 16)
+
+
+def test_op3_one_more_shard_moves_few_keys(spark):
+    docs = spark.range(60_000).selectExpr("id * 31 as doc_id", "'x' as text")
+    few, more = ({r[0]: r[2] for r in _placed(spark, docs, n)} for n in (16, 17))
+    moved = sum(few[k] != more[k] for k in few) / len(few)
+    between = sum(few[k] != more[k] != 16 for k in few) / len(few)
+    assert 1 / 17 - 0.001 < moved < 0.075 and between < 0.015
+
+
+def test_op3_hot_key_is_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ring, "BLOCK", 100)
+    monkeypatch.setattr(ring, "CELL_ROWS", 1)
+    rows = [(5, "same")] * 1700 + [(None, None)] * 900 + [(i, f"t{i}") for i in range(2000)]
+    got = _placed(spark, [r for r in rows if r[0] is not None], 7)
+    assert len(got) == 3700
+    got = ring.shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), 7).collect()
+    sizes = Counter(r["shard"] for r in got)
+    assert len(got) == len(rows) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert len({(r["shard"], r["slot"]) for r in got}) == len(rows) and all(r["slot"] < sizes[r["shard"]] for r in got)
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
 
 
 def test_cuckoo_filter_grows_and_deletes():
