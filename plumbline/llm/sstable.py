@@ -22,11 +22,10 @@ from __future__ import annotations
 
 import bisect
 import json
-import re
+import os
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,66 +37,48 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.bpedfa import BLANKS, BYTE_OF, LETTERS, NUMBERS
 from plumbline.llm.shared import fresh_path, inline_rows, partitions, text_batches
 
 MAGIC = b"PLSST001"
 BITS, PROBES = 10, 7
-#: The byte-level pre-split of Latin-1 texts; a piece is encoded by the library and remembered.
-PIECES = re.compile(rf" ?[{LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
-_PRINTED = str.maketrans({b: c for c, b in BYTE_OF.items()})
+#: Characters of text that go to the library in one call; the texts of a call are never cut.
+CALL = 1 << 20
 
+_tokenizers: dict[str, object] = {}
 
-class PieceEncoder:
-    """Token ids of whole texts by the tokenizers library, as little-endian uint32 bytes.
 
-    Byte-level BPE never merges across pre-split pieces, so the library encodes each
-    distinct piece once and texts are put together from them.  Texts outside
-    Latin-1 or with a special token's spelling go to the library whole.
-    """
-
-    def __init__(self, path: str, max_pieces: int = 600_000):
+def tokenizer(path: str):
+    """The library's tokenizer of a JSON file, without truncation and padding; one for each worker."""
+    if path not in _tokenizers:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-        self.max_pieces = max_pieces
-
-    def _piece(self, piece: str) -> bytes:
-        if len(self.memo) >= self.max_pieces:
-            self.memo.clear()
-        printed = piece.encode("utf-8").decode("latin-1").translate(_PRINTED)
-        ids = self.memo[piece] = array("I", [t.id for t in self.model.tokenize(printed)]).tobytes()
-        return ids
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        made = Tokenizer.from_file(path)
+        made.no_truncation()
+        made.no_padding()
+        _tokenizers[path] = made
+    return _tokenizers[path]
 
-    def encode(self, text: str) -> bytes:
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return self._whole(text)
-        if any(s in text for s in self.special):
-            return self._whole(text)
-        pieces = PIECES.findall(text)
-        ids = list(map(self.memo.get, pieces))
-        if None in ids:
-            ids = [got if got is not None else self.memo.get(p) or self._piece(p) for got, p in zip(ids, pieces)]
-        return b"".join(ids)
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+def encoded(path: str, texts: list[str | None]) -> Iterator[bytes]:
+    """Token ids of whole texts by the tokenizers library, as little-endian uint32 bytes; null is empty."""
+    run, call, size = tokenizer(path), [], 0
+    for i, text in enumerate(texts):
+        call.append(text or "")
+        size += len(call[-1])
+        if size >= CALL or i == len(texts) - 1:
+            for one in run.encode_batch_fast(call, add_special_tokens=False):
+                yield np.array(one.ids, "<u4").tobytes()
+            call, size = [], 0
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
-def encoder(path: str) -> PieceEncoder:
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+def id_width(path: str, end_id: int) -> int:
+    """Bytes that hold every id of the vocabulary and ``end_id``."""
+    run = tokenizer(path)
+    largest = max([end_id, *run.get_vocab(with_added_tokens=True).values()])
+    if not 0 <= end_id <= largest < 1 << 32:
+        raise ValueError(f"ids up to {largest} and end id {end_id} do not fit four bytes")
+    return 2 if largest < 1 << 16 else 4
 
 
 def _varint(n: int) -> bytes:
@@ -144,6 +125,13 @@ def open_fs(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
+def _narrow(ids: bytes) -> bytes:
+    wide = np.frombuffer(ids, "<u4")
+    if len(wide) and int(wide.max()) >= 1 << 16:
+        raise ValueError(f"token id {wide.max()} does not fit two bytes")
+    return wide.astype("<u2").tobytes()
+
+
 class ShardWriter:
     """Streams entries in key order to a file; memory holds one block and the id hashes."""
 
@@ -151,6 +139,8 @@ class ShardWriter:
         self.out, self.width, self.block_bytes = stream, width, block_bytes
         self.index: list[list] = []
         self.block, self.first, self.last = bytearray(), b"", b""
+        self.first_id = self.last_id = None
+        self.nulls = 0
         self.at = self.tokens = self.docs = self.nth = 0
         self.ids: list[bytes] = []
         self.zip = zstandard.ZstdCompressor(level=1)
@@ -162,6 +152,11 @@ class ShardWriter:
     def add(self, doc_id: int | None, ids: bytes) -> None:
         """``ids``: little-endian uint32 token ids."""
         key = pack_key(doc_id)
+        if doc_id is None:
+            self.nulls += 1
+        else:
+            self.first_id = doc_id if self.first_id is None else self.first_id
+            self.last_id = doc_id
         if self.last and self.last[:9] == key[:9]:
             self.nth += 1
             key = pack_key(doc_id, self.nth)
@@ -174,7 +169,7 @@ class ShardWriter:
                 shared += 1
         else:
             self.first = key
-        body = ids if self.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+        body = ids if self.width == 4 else _narrow(ids)
         value = struct.pack("<q", self.tokens) + body
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.last = key
@@ -258,16 +253,21 @@ class ShardReader:
                 yield unpack_key(key), start, ids
 
 
-MANIFEST = "shard int, path string, docs long, tokens long, first_id long, last_id long"
+MANIFEST = "shard int, path string, docs long, tokens long, nulls long, first_id long, last_id long"
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", width: int = 2) -> list[dict]:
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, out: str | None = None, id_col: str = "doc_id", text_col: str = "text", width: int | None = None) -> list[dict]:
     """Encode ``docs`` and write them as shards in ascending id order; returns the manifest.
 
-    ``width``: bytes for each token id (2 holds vocabularies under 65,536).  Null texts are empty and hold
-    only ``end_id``; null ids sort first.
+    ``width``: bytes for each token id, 2 or 4; by default the fewest that hold the whole
+    vocabulary and ``end_id``, and fewer than those are refused.  Null texts are empty and
+    hold only ``end_id``; null ids sort first; rows that repeat an id are entries of their own.
     """
     spark = docs.sparkSession
+    need = id_width(tokenizer_path, end_id)
+    width = need if width is None else width
+    if width not in (2, 4) or width < need:
+        raise ValueError(f"{width} bytes do not hold the ids of this vocabulary, {need} do")
     out = out or fresh_path(spark, "sstable")
     fs, path = open_fs(out)
     fs.create_dir(path, recursive=True)
@@ -278,19 +278,16 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, out: str | N
         shard = TaskContext.get().partitionId()
         name = f"{folder}/part-{shard:06d}.sst"
         attempt = f"{folder}/.{uuid.uuid4().hex}.tmp"
-        run, ids, writer = encoder(tokenizer_path), [], None
         with fs.open_output_stream(attempt) as stream:
             writer = ShardWriter(stream, width)
             for part, texts in text_batches(batches, "text"):
-                keys = part.column(0).to_pylist()
-                for key, text in zip(keys, texts):
-                    writer.add(key, run.encode(text or "") + tail)
-                ids += [k for k in (keys[0], keys[-1]) if k is not None]
+                for key, ids in zip(part.column(0).to_pylist(), encoded(tokenizer_path, texts)):
+                    writer.add(key, ids + tail)
             writer.close()
         fs.move(attempt, name)
-        row = [shard, name if out.startswith("/") else f"{out}/part-{shard:06d}.sst", writer.docs, writer.tokens, min(ids, default=None), max(ids, default=None)]
-        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["shard", "path", "docs", "tokens", "first_id", "last_id"])
+        row = [shard, name if out.startswith("/") else f"{out}/part-{shard:06d}.sst", writer.docs, writer.tokens, writer.nulls, writer.first_id, writer.last_id]
+        kinds = [pa.int32(), pa.string(), *[pa.int64()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds)], names=["shard", "path", "docs", "tokens", "nulls", "first_id", "last_id"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keys = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.monotonically_increasing_id()]
@@ -326,10 +323,20 @@ def read_shards(spark, manifest: list[dict], with_ids: bool = True) -> DataFrame
     return table.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
-def lookup(manifest: list[dict], doc_id: int) -> list[list[int]]:
-    """Token ids of a document by Bloom filter and binary search, without a scan."""
+def lookup(manifest: list[dict], doc_id: int | None) -> list[list[int]]:
+    """Token ids of each row with this id (null is an id too), without a scan.
+
+    The shards that may hold it are found by bisection of their last ids, then each by its
+    Bloom filter and block index.
+    """
+    if doc_id is None:
+        held = [r for r in manifest if r["nulls"]]
+    else:
+        ranged = [r for r in manifest if r["last_id"] is not None]
+        held = ranged[bisect.bisect_left([r["last_id"] for r in ranged], doc_id) :]
     out = []
-    for r in manifest:
-        if r["first_id"] is not None and r["first_id"] <= doc_id <= r["last_id"]:
-            out += [ids.tolist() for ids in ShardReader(r["path"]).get(doc_id)]
+    for r in held:
+        if doc_id is not None and r["first_id"] > doc_id:
+            break
+        out += [ids.tolist() for ids in ShardReader(r["path"]).get(doc_id)]
     return out

@@ -70,9 +70,21 @@ def test_op1_odd_rows_and_lookup(odd, empty, libraries):
     want = Counter((r[0], tuple(libraries[0].encode(r[1] or "", add_special_tokens=False).ids) + (2,)) for r in ODD)
     assert Counter((r["doc_id"], tuple(r["ids"])) for r in rows) == want
     assert sorted(map(len, sstable.lookup(manifest, 9))) == [3, 3] and sstable.lookup(manifest, 4) == []
+    blank = tuple(libraries[0].encode("same text", add_special_tokens=False).ids) + (2,)
+    assert [tuple(x) for x in sstable.lookup(manifest, None)] == [blank]
+    for i in {r[0] for r in ODD}:  # every id, whichever rows stand before it
+        assert Counter(map(tuple, sstable.lookup(manifest, i))) == Counter({k[1]: n for k, n in want.items() if k[0] == i})
     assert sstable.read_shards(empty.sparkSession, sstable.write_shards(empty, BYTE, 2)).count() == 0
 
 
+def test_op1_ids_keep_their_width(odd):
+    rows = odd.where("doc_id = 5")
+    wide = sstable.read_shards(rows.sparkSession, sstable.write_shards(rows, BYTE, 70_000)).collect()
+    assert [r["ids"] for r in wide] == [[70_000]]
+    with pytest.raises(ValueError):
+        sstable.write_shards(rows, BYTE, 70_000, width=2)
+
+
 def test_shard_file_round_trip(tmp_path):
     rnd = random.Random(1)
     keys = sorted(rnd.sample(range(-(10**12), 10**12), 3000))
@@ -96,9 +108,8 @@ def test_shard_file_round_trip(tmp_path):
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(codec="latin-1"), st.sampled_from("ΣςﬁÅ中文😀 ​'")), max_size=40))
-def test_encoders_match_library(text):
-    for path, encode in ((BYTE, lambda t: np.frombuffer(sstable.encoder(BYTE).encode(t), "<u4").tolist()), (WORD, lambda t: bpedfa.codec(WORD).encode(t))):
-        assert encode(text) == _library(path).encode(text, add_special_tokens=False).ids
+def test_automaton_matches_library(text):
+    assert bpedfa.codec(WORD).encode(text) == _library(WORD).encode(text, add_special_tokens=False).ids
 
 
 _cache = {}
