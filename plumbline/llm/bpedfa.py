@@ -1,273 +1,384 @@
 """BPE encoding and decoding with a tokenization automaton compiled from the merges.
 
-``MergeAutomaton`` reads the merge list in order and applies one merge gadget for each
-merge ``u v -> w`` to an automaton over tokens whose states are "the last token was t":
-the arc ``v`` leaves state ``u``; every state with an arc ``u`` gains an arc ``w``; the
-new state ``w`` inherits the arcs that ``v`` had.  The arcs are kept implicitly, as the
-gadget that made each state, and ``arc`` unwinds gadgets from the latest to the
-earliest.  What the automaton accepts are exactly the token sequences that BPE emits.
-
-For encoding, its product with the trie of token spellings is made deterministic over
-bytes, state by state as texts need them: a state is (the longest suffix that may still
-grow into a token, the last token at each position inside it), a transition reads one
-byte and names the token that ends there.  A pre-split word costs one table lookup per
-byte and one step back per token.  Decoding emits the arc labels.
+``compile_arcs`` reads the merge list in order and applies one merge gadget for each merge
+``u v -> w`` to a deterministic automaton over tokens, whose states are "the last token
+was t": the new state ``w`` takes over the arcs of ``v``; the arc ``v`` leaves state ``u``;
+every state with an arc ``u`` gains an arc ``w``.  What is left accepts exactly the token
+sequences that BPE emits.  The arcs are one bit each (state by token, 92 MB for 49,000
+merges, about 9 MB compressed); the driver compiles them once and broadcasts them, a size
+that the vocabulary fixes.
+
+Encoding reads pre-split words byte by byte through two tables: the transitions of the trie
+of token spellings, completed by its suffix links, and the arcs.  At every byte the token that
+ends there is the one, among the spellings that end there, whose arc leaves the token before
+it; BPE makes it unique.  All distinct words of a call take their steps together as arrays.
+Decoding takes ids and emits the labels of their arcs.
+
+The tokenizer file must name the normaliser, pre-tokenizer and model settings that this
+module implements; any other is refused.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 import unicodedata
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import text_batches
-
-START = -1
-#: Words of more characters are encoded anew each time, so that what is remembered stays bounded.
-LONGEST = 200
+#: Characters of text that are encoded in one go; a text is never cut.
+CALL = 1 << 21
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_OF = {chr(b): b for b in _PRINTABLE} | {chr(256 + i): b for i, b in enumerate(x for x in range(256) if x not in set(_PRINTABLE))}
 #: White space as the tokenizer's own regular expressions see it.
-SPACE = r"\t-\r\x20\x85\xA0  -     　"
+SPACE = r"\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Classes of Latin-1 texts, for the faster standard library.
 LETTERS = r"A-Za-z\xAA\xB5\xBA\xC0-\xD6\xD8-\xF6\xF8-\xFF"
 NUMBERS = r"0-9\xB2\xB3\xB9\xBC-\xBE"
 BLANKS = r"\t-\r\x20\x85\xA0"
 LATIN_WORDS = re.compile(rf"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
-
-
-class _State(dict):
-    """Byte -> (token that ends here, next state); ``final``: byte -> token that ends the word."""
-
-    __slots__ = ("auto", "final", "lasts", "suffix")
-
-    def __init__(self, auto: MergeAutomaton, suffix: bytes, lasts: tuple[int, ...]):
-        self.auto, self.suffix, self.lasts, self.final = auto, suffix, lasts, {}
-
-    def __missing__(self, byte: int) -> tuple:
-        self[byte] = made = self.auto._step(self, byte)
-        return made
-
-
-class MergeAutomaton:
-    """Reads a BPE model of the tokenizers library (JSON file); tokens are numbered in merge order."""
-
-    def __init__(self, path: str, max_states: int = 120_000):
+#: What the words above and ``Codec.words`` implement, as a tokenizer file writes it (fixed values).
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _refuse(spec: dict) -> None:
+    """ValueError for a tokenizer file with settings that are not implemented here."""
+    model = spec["model"]
+    wrong = [k for k, v in (("normalizer", NORMALIZER), ("pre_tokenizer", PRE_TOKENIZER), ("decoder", None)) if spec.get(k) != v]
+    wrong += [f"model {k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += [f"added token {t['content']}" for t in spec.get("added_tokens", []) if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")]
+    if model.get("type") != "BPE" or wrong:
+        raise ValueError(f"tokenizer settings that this automaton does not implement: {', '.join(wrong) or model.get('type')}")
+
+
+class Vocabulary:
+    """Tokens of a tokenizer file in merge order: base tokens first, then one for each merge."""
+
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _refuse(spec)
         model = spec["model"]
         vocab, end = model["vocab"], model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         merged = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         made = {a + b for a, b in merged}
-        base = sorted((t for t in vocab if t not in made), key=vocab.get)
-        number = {t: i for i, t in enumerate(base)}
-        self.left, self.right = [0] * len(base), [0] * len(base)
-        self.gadget: dict[tuple[int, int], int] = {}
-        names = list(base)
+        self.labels = sorted((t for t in vocab if t not in made), key=vocab.get)
+        self.n_base = len(self.labels)
+        number = {t: i for i, t in enumerate(self.labels)}
+        self.parts: list[tuple[int, int]] = []
         for a, b in merged:
-            u, v, w = number[a], number[b], len(names)
-            names.append(a + b)
-            number[a + b] = w
-            self.left.append(u)
-            self.right.append(v)
-            self.gadget[u, v] = w
-        self.first_merge = len(base)
-        self.labels = names
-        self.ids = [vocab[t] for t in names]
-        self.label_of = {vocab[t]: t for t in names} | {i: t for t, i in self.special.items()}
-        self.inner: dict[bytes, int] = {}
-        self.ending: dict[bytes, int] = {}
-        prefixes: set[bytes] = {b""}
-        self.length = []
-        for i, name in enumerate(names):
-            last = bool(end) and name.endswith(end) and name != end
-            body = bytes(BYTE_OF[c] for c in (name[: -len(end)] if last else name))
-            (self.ending if last else self.inner)[body] = i
-            self.length.append(len(body))
-            prefixes.update(body[:k] for k in range(1, len(body)))
-        if not end:
-            self.ending = self.inner
-        self.prefixes = prefixes
-        self.max_states = max_states
-        self._reset()
-
-    def _reset(self) -> None:
-        for state in getattr(self, "states", {}).values():  # they refer to each other; nothing else collects them
-            state.clear()
-        self.start = _State(self, b"", (START,))
-        self.states = {(b"", (START,)): self.start}
-
-    def arc(self, u: int, v: int) -> bool:
-        """Whether token v may follow token u once all gadgets are applied."""
-        limit = len(self.labels)
-        first = self.first_merge
-        while True:
-            made = self.gadget.get((u, v))
-            if made is not None and made < limit:
-                return False
-            if u > v:
-                if u < first:
-                    return True
-                limit, u = u, self.right[u]
-            else:
-                if v < first:
-                    return True
-                limit, v = v + 1, self.left[v]
-
-    def _ends(self, state: _State, byte: int, table: dict[bytes, int]) -> tuple[int, bytes]:
-        grown = state.suffix + bytes((byte,))
-        for n in range(1, len(grown) + 1):
-            token = table.get(grown[-n:])
-            if token is not None and ((last := state.lasts[-n]) == START or self.arc(last, token)):
-                return token, grown
-        raise AssertionError("every byte is a token")
-
-    def _step(self, state: _State, byte: int) -> tuple[int, _State]:
-        token, grown = self._ends(state, byte, self.inner)
-        while grown not in self.prefixes:
-            grown = grown[1:]
-        key = (grown, (*state.lasts, token)[-len(grown) - 1 :])
-        to = self.states.get(key)
-        if to is None:
-            if len(self.states) >= self.max_states:  # memory stays bounded; tables regrow
-                self._reset()
-            to = self.states[key] = _State(self, *key)
-        return token, to
+            self.parts.append((number[a], number[b]))
+            number[a + b] = len(self.labels)
+            self.labels.append(a + b)
+        self.ids = np.array([vocab[t] for t in self.labels], np.int32)
+        last = [bool(end) and t.endswith(end) and t != end for t in self.labels]
+        self.bodies = [bytes(BYTE_OF[c] for c in (t[: -len(end)] if z else t)) for t, z in zip(self.labels, last)]
+        #: Whether a word may go on after the token, and whether it may end with it.
+        self.inner = np.array([not z for z in last])
+        self.final = np.array(last) if end else np.ones(len(last), bool)
+        #: State of each token (only tokens inside a word have one), then of the start of a word.
+        self.state = np.append(np.where(self.inner, np.cumsum(self.inner) - 1, -1), self.inner.sum()).astype(np.int32)
+
+    @property
+    def n_states(self) -> int:
+        return int(self.state[-1]) + 1
+
+
+def compile_arcs(vocab: Vocabulary) -> np.ndarray:
+    """Bits [token, state]: whether the token may follow, once every merge gadget is applied."""
+    width = (vocab.n_states + 7) // 8
+    arcs = np.zeros((len(vocab.labels), width), np.uint8)
+    begin = np.zeros(8 * width, np.uint8)
+    begin[vocab.state[: vocab.n_base][vocab.inner[: vocab.n_base]]] = 1
+    begin[vocab.state[-1]] = 1
+    arcs[: vocab.n_base] = np.packbits(begin, bitorder="little")
+    state = vocab.state.tolist()
+    for w, (u, v) in enumerate(vocab.parts, vocab.n_base):
+        if state[w] >= 0:  # the new state takes over the arcs of v
+            byte, bit = divmod(state[v], 8)
+            at, shift = divmod(state[w], 8)
+            arcs[:w, at] |= (arcs[:w, byte] >> bit & 1) << shift
+        byte, bit = divmod(state[u], 8)
+        arcs[v, byte] &= 255 ^ 1 << bit  # u v is merged, so v no longer follows u
+        arcs[w] = arcs[u]  # what u could follow, w can follow
+    return arcs
+
+
+def compile_spellings(vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Transitions [node, byte] of the trie of spellings, completed by suffix links; for each node
+    the longest inner and the longest final token that end there; for each token the next
+    shorter one of its kind (-1: none)."""
+    prefixes = {b[:k] for b in vocab.bodies for k in range(len(b) + 1)}
+    order = sorted(prefixes, key=lambda p: (len(p), p))
+    number = {p: i for i, p in enumerate(order)}
+    go = np.zeros((len(order), 256), np.int32)
+    fail = np.zeros(len(order), np.int64)
+    children: list[list[tuple[int, int]]] = [[] for _ in order]
+    for i, p in enumerate(order[1:], 1):
+        children[number[p[:-1]]].append((p[-1], i))
+    ends = np.full((2, len(order)), -1, np.int32)
+    for t, body in enumerate(vocab.bodies):
+        for kind, flag in enumerate((vocab.inner, vocab.final)):
+            if flag[t]:
+                ends[kind, number[body]] = t
+    shorter = np.full((2, len(vocab.labels)), -1, np.int32)
+    for i in range(len(order)):  # by length, so the node of a suffix link is complete
+        if i:
+            go[i] = go[fail[i]]
+            for kind in (0, 1):
+                if ends[kind, i] < 0:
+                    ends[kind, i] = ends[kind, fail[i]]
+                else:
+                    shorter[kind, ends[kind, i]] = ends[kind, fail[i]]
+        for byte, child in children[i]:
+            fail[child] = go[i, byte] if i else 0
+            go[i, byte] = child
+    return go, ends[0], ends[1], shorter[0], shorter[1]
 
-    def word(self, word: bytes) -> list[int]:
-        """Tokens (merge order) of one pre-split, non-empty word."""
-        state, ends = self.start, []
-        for byte in word[:-1]:
-            token, state = state[byte]
-            ends.append(token)
-        token = state.final.get(word[-1])
-        if token is None:
-            token = state.final[word[-1]] = self._ends(state, word[-1], self.ending)[0]
-        out, at, length = [token], len(word) - self.length[token], self.length
-        while at:
-            token = ends[at - 1]
-            out.append(token)
-            at -= length[token]
-        out.reverse()
-        return out
 
+class MergeAutomaton:
+    """The compiled tables of one tokenizer file; ``arcs`` may come ready-made (see ``compile_arcs``)."""
+
+    def __init__(self, path: str, arcs: np.ndarray | None = None):
+        self.vocab = Vocabulary(path)
+        self.arcs = compile_arcs(self.vocab) if arcs is None else arcs
+        self.go, self.inner_end, self.final_end, self.inner_shorter, self.final_shorter = compile_spellings(self.vocab)
+        self.length = np.array([len(b) for b in self.vocab.bodies], np.int32)
+        self.state = self.vocab.state
+
+    def arc(self, u: np.ndarray | int, v: np.ndarray | int) -> np.ndarray:
+        """Whether token v may follow token u (-1: the start of a word)."""
+        at = self.state[u]
+        return (self.arcs[v, at >> 3] >> (at & 7) & 1).astype(bool)
+
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of non-empty words (bytes ``data[offsets[i]:offsets[i + 1]]``), flat, and their offsets.
+
+        Each step reads one more byte of every word that has one; longer words come first,
+        so those that still read, and those at their last byte, are slices.
+        """
+        lengths = np.diff(offsets).astype(np.int64)
+        n = len(lengths)
+        order = np.argsort(-lengths, kind="stable")
+        size, start = lengths[order], offsets[:-1][order].astype(np.int64)
+        base = start + order  # one more place for each word holds its start
+        last = np.full(len(data) + n, -1, np.int32)
+        count = np.zeros(len(data) + n, np.int32)
+        node = np.zeros(n, np.int32)
+        longer = n
+        for j in range(int(size[0]) if n else 0):
+            active = longer
+            longer = int(np.searchsorted(-size, -(j + 1), side="left"))
+            node = self.go[node[:active], data[start[:active] + j]]
+            for lo, hi, ending, shorter in ((0, longer, self.inner_end, self.inner_shorter), (longer, active, self.final_end, self.final_shorter)):
+                if lo == hi:
+                    continue
+                token = ending[node[lo:hi]]
+                here = base[lo:hi] + (j + 1)
+                before = here - self.length[token]
+                wrong = np.flatnonzero(~self.arc(last[before], token))
+                while len(wrong):
+                    token[wrong] = shorter[token[wrong]]
+                    before[wrong] = here[wrong] - self.length[token[wrong]]
+                    wrong = wrong[~self.arc(last[before[wrong]], token[wrong])]
+                last[here] = token
+                count[here] = count[before] + 1
+        ends = offsets[1:].astype(np.int64) + np.arange(n)
+        out_offsets = np.zeros(n + 1, np.int64)
+        np.cumsum(count[ends], out=out_offsets[1:])
+        out = np.empty(int(out_offsets[-1]), np.int32)
+        begin, at, spot = ends - lengths, ends, out_offsets[1:] - 1
+        while len(at):  # step back by whole tokens
+            token = last[at]
+            out[spot] = token
+            at, spot = at - self.length[token], spot - 1
+            more = at > begin
+            at, spot, begin = at[more], spot[more], begin[more]
+        return out, out_offsets
 
-class Codec:
-    """Whole texts: normalise, pre-split, encode words through the automaton, remember words.
+    def word(self, word: bytes) -> list[int]:
+        """Tokens (merge order) of one word."""
+        return self.words(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0].tolist()
 
-    The bounds hold a worker near 250 MB, which it keeps while it waits for its next task.
-    """
 
-    def __init__(self, path: str, max_words: int = 250_000):
-        self.auto = MergeAutomaton(path)
-        self.decimals = [str(i) for i in self.auto.ids]
-        self.max_words = max_words
-        self.memo: dict[str, tuple[int, str, str, bytes]] = {}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.auto.special)) + ")") if self.auto.special else None
-
-    def _word(self, word: str) -> tuple[int, str, str, bytes]:
-        auto, decimals = self.auto, self.decimals
-        tokens = auto.word(word.encode("utf-8"))
-        if len(self.memo) >= self.max_words:
-            self.memo.clear()
-        ids, labels = auto.ids, auto.labels
-        made = (len(tokens), " ".join([decimals[t] for t in tokens]), " ".join([labels[t] for t in tokens]), array("I", [ids[t] for t in tokens]).tobytes())
-        if len(word) <= LONGEST:
-            self.memo[word] = made
-        return made
-
-    def _plain(self, text: str) -> list[tuple]:
+class Codec:
+    """Whole texts: normalise, pre-split, encode distinct words by the tables, put ids together; and back."""
+
+    def __init__(self, path: str, arcs: np.ndarray | None = None):
+        self.auto = MergeAutomaton(path, arcs)
+        vocab = self.auto.vocab
+        self.special = vocab.special
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        names = {int(i): t for i, t in zip(vocab.ids, vocab.labels)} | {i: t for t, i in self.special.items()}
+        self.labels = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
+        self.decimals = pa.array([str(i) for i in range(max(names) + 1)], pa.string())
+
+    @staticmethod
+    def _plain(text: str) -> list[str]:
         try:
             text.encode("latin-1")
-            words = LATIN_WORDS.findall(text.lower())
+            return LATIN_WORDS.findall(text.lower())
         except UnicodeEncodeError:
-            words = WORDS.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-        out = list(map(self.memo.get, words))
-        if None in out:
-            out = [got or self.memo.get(w) or self._word(w) for got, w in zip(out, words)]
-        return out
-
-    def pieces(self, text: str) -> list[tuple]:
-        if self.cut is None or not any(s in text for s in self.auto.special):
+            return WORDS.findall(unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower())
+
+    def words(self, text: str) -> list[str]:
+        """Pre-split words in order; a special token's spelling is one of its own."""
+        if self.cut is None or not any(s in text for s in self.special):
             return self._plain(text)
-        out = []
-        for part in self.cut.split(text):
-            n = self.auto.special.get(part)
-            out += self._plain(part) if n is None else [(1, str(n), part, np.array([n], "<u4").tobytes())]
-        return out
+        return [w for part in self.cut.split(text) for w in ([part] if part in self.special else self._plain(part))]
+
+    def _spelled(self, words: pa.Array) -> pa.ListArray:
+        """Ids of each distinct word; a special token has no words of its spelling beside it."""
+        names = words.to_pylist() if self.special and pc.any(pc.is_in(words, pa.array(list(self.special)))).as_py() else []
+        special = [i for i, w in enumerate(names) if w in self.special]
+        if special:
+            words = pa.array(["a" if w in self.special else w for w in names], pa.string())  # a place for one id
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[: offsets[-1]]
+        tokens, at = self.auto.words(data, offsets)
+        ids = self.auto.vocab.ids[tokens]
+        for i in special:
+            ids[at[i]] = self.special[names[i]]
+        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
+
+    def ids_of(self, texts: list[str | None]) -> pa.ListArray:
+        """Token ids of each text; null counts as empty."""
+        words, ends = [], [0]
+        for text in texts:
+            if text:
+                words += self.words(text)
+            ends.append(len(words))
+        if not words:
+            return pa.ListArray.from_arrays(pa.array(np.zeros(len(ends), np.int32)), pa.array([], pa.int32()))
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        spelled = self._spelled(coded.dictionary)
+        sizes = np.diff(spelled.offsets.to_numpy())[coded.indices.to_numpy()]
+        total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])[ends]
+        return pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), spelled.take(coded.indices).flatten())
 
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join([p[3] for p in self.pieces(text)]), "<u4").tolist()
+        return self.ids_of([text])[0].as_py()
+
+    @staticmethod
+    def _joined(names: pa.Array, ids: pa.ListArray) -> pa.Array:
+        values = ids.flatten()
+        spread = pc.min_max(values)
+        known = values.null_count == 0 and (not len(values) or (spread["min"].as_py() >= 0 and spread["max"].as_py() < len(names)))
+        flat = names.take(values) if known else None
+        if flat is None or flat.null_count:
+            raise ValueError("an id that the vocabulary does not hold")
+        if ids.null_count:
+            ids = pa.ListArray.from_arrays(pa.array(np.append(ids.offsets.to_numpy()[:-1], ids.offsets[-1].as_py())), ids.values, mask=ids.is_null())
+        sizes = pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, flat)
+        return pc.if_else(ids.is_valid(), pc.binary_join(lists, " "), pa.scalar(None, pa.string()))
+
+    def decode_all(self, ids: pa.ListArray) -> pa.Array:
+        """Labels of each row's ids, joined by one space (the model has no decoder of its own); null stays."""
+        return self._joined(self.labels, ids)
+
+    def decimal_all(self, ids: pa.ListArray) -> pa.Array:
+        return self._joined(self.decimals, ids)
 
     def decode(self, ids: list[int]) -> str:
-        """Arc labels in order, joined by one space (the model has no decoder of its own)."""
-        return " ".join([self.auto.label_of[i] for i in ids])
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0].as_py()
 
 
 _codecs: dict[str, Codec] = {}
+_packed: dict[str, bytes] = {}
 
 
-def codec(path: str) -> Codec:
+def codec(path: str, packed: bytes | None = None) -> Codec:
+    """One codec for each file in a process; ``packed``: compressed arcs of the driver."""
     if path not in _codecs:
-        _codecs[path] = Codec(path)
+        arcs = None
+        if packed is not None:
+            flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+            arcs = flat.reshape(len(Vocabulary(path).labels), -1)
+        _codecs[path] = Codec(path, arcs)
     return _codecs[path]
 
 
+def shipped(spark: SparkSession, path: str):
+    """A broadcast of the compressed arcs of ``path``; compiled once in a driver."""
+    if path not in _packed:
+        _packed[path] = zstandard.ZstdCompressor(level=3).compress(compile_arcs(Vocabulary(path)).tobytes())
+    return spark.sparkContext.broadcast(_packed[path])
+
+
 FIELDS = {"n_tokens": "long", "ids": "array<int>", "ids_text": "string", "decoded": "string"}
-_TYPES = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_text": pa.string(), "decoded": pa.string()}
+
+
+def _calls(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """Ids and texts of rows together until they hold ``CALL`` characters."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+        at, size = 0, 0
+        for i, n in enumerate(lengths.tolist()):
+            size += n
+            if size >= CALL or i == len(lengths) - 1:
+                part = batch.slice(at, i + 1 - at)
+                yield part.column(0), part.column(1).to_pylist()
+                at, size = i + 1, 0
 
 
 def encode(docs: DataFrame, path: str, outputs: tuple[str, ...] = ("n_tokens", "ids"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the chosen ``outputs`` of every row: n_tokens, ids, ids_text (decimal ids
     joined by a space), decoded (the labels that decoding those ids emits).
 
-    Null texts count as empty and have no tokens; rows that repeat are encoded each.
+    Null texts count as empty and have no tokens; rows that repeat are encoded each; an
+    empty table gives no rows.
     """
+    arcs = shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the tables are many small objects without garbage cycles; walking them costs as much as encoding
-        try:
-            yield from coded(batches)
-        finally:
-            gc.enable()
-
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = codec(path).pieces
-        for part, texts in text_batches(batches, "text"):
-            cols: dict[str, list] = {k: [] for k in outputs}
-            for text in texts:
-                got = pieces(text or "")
-                for k, out in cols.items():
-                    if k == "n_tokens":
-                        out.append(sum([p[0] for p in got]))
-                    elif k == "ids":
-                        out.append(np.frombuffer(b"".join([p[3] for p in got]), "<u4").astype(np.int32))
-                    else:
-                        out.append(" ".join([p[1 if k == "ids_text" else 2] for p in got]))
-            yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(cols[k], _TYPES[k]) for k in outputs]], names=["doc_id", *outputs])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        one = None
+        for keys, texts in _calls(batches):
+            one = one or codec(path, arcs.value)
+            ids = one.ids_of(texts)
+            cols = []
+            for k in outputs:
+                if k == "n_tokens":
+                    cols.append(pc.cast(pc.list_value_length(ids), pa.int64()))
+                else:
+                    cols.append(ids if k == "ids" else one.decimal_all(ids) if k == "ids_text" else one.decode_all(ids))
+            yield pa.RecordBatch.from_arrays([keys, *cols], names=["doc_id", *outputs])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {FIELDS[k]}" for k in outputs))
 
 
-def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with a column ``decoded`` added: the labels of each row's ids; null ids give null."""
-    from pyspark.sql.functions import pandas_udf
+def decoded(spark: SparkSession, path: str, ids: Column) -> Column:
+    """The labels of an array of ids; a null array gives null, an id outside the vocabulary an error."""
+    arcs = shipped(spark, path)
 
-    @pandas_udf("string")
-    def labels(ids):
-        one = codec(path).decode
-        return ids.map(lambda x: None if x is None else one(list(x)))
+    @F.arrow_udf("string")
+    def labels(rows: pa.Array) -> pa.Array:
+        return codec(path, arcs.value).decode_all(rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows)
 
-    return encoded.withColumn("decoded", labels(F.col(ids_col)))
+    return labels(ids)
+
+
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """``encoded`` with a column ``decoded`` added, from the ids alone."""
+    return encoded.withColumn("decoded", decoded(encoded.sparkSession, path, F.col(ids_col)))

@@ -140,18 +140,66 @@ def test_op10_odd_rows_and_decode(odd, empty, libraries):
 
 def test_automaton_accepts_only_what_bpe_emits():
     auto = bpedfa.codec(WORD).auto
+    name = auto.vocab.labels.index
     tokens = auto.word(b"worthlessness")
-    assert all(auto.arc(a, b) for a, b in zip(tokens, tokens[1:]))
-    t, h = auto.inner[b"t"], auto.inner[b"h"]
-    assert not auto.arc(t, h)  # "t h" merges, so the two never stand side by side
-
-
-def test_automaton_tables_stay_bounded():
-    auto = bpedfa.MergeAutomaton(WORD, max_states=50)
-    full = bpedfa.codec(WORD).auto
-    for w in (b"antidisestablishment", b"quizzical", b"zzzzzzzz", b"thethethe"):
-        assert auto.word(w) == full.word(w)
-    assert len(auto.states) <= 51
+    assert auto.arc(np.array(tokens[:-1]), np.array(tokens[1:])).all() and auto.arc(-1, tokens[0])
+    assert not auto.arc(name("t"), name("h"))  # "t h" merges, so the two never stand side by side
+
+
+def test_merge_gadgets_by_brute_force(tmp_path):
+    """All token pairs of small vocabularies: an arc exists where BPE keeps the two apart."""
+    import json
+
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f)
+    for n in (3, 40, 150):
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"][:n]]
+        keep = {t: i for t, i in spec["model"]["vocab"].items() if i < 512} | {a + b: 512 + i for i, (a, b) in enumerate(merges)}
+        small = spec | {"model": spec["model"] | {"merges": merges, "vocab": keep}, "added_tokens": []}
+        path = str(tmp_path / f"{n}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(small, f)
+        auto, rank = bpedfa.MergeAutomaton(path), {tuple(m): i for i, m in enumerate(merges)}
+        labels = auto.vocab.labels
+        some = [labels.index(t) for t in dict.fromkeys([t for m in merges for t in (*m, "".join(m))])]
+
+        def bpe(parts):
+            while True:
+                spots = [(rank[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in rank]
+                if not spots:
+                    return parts
+                i = min(spots)[1]
+                parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]]
+
+        for u in some:
+            for v in some:
+                if auto.vocab.inner[u]:
+                    chars = [*labels[u], *(list(labels[v][:-5]) + [labels[v][-5:]] if not auto.vocab.inner[v] else labels[v])]
+                    assert bool(auto.arc(u, v)) == (bpe(chars) == [labels[u], labels[v]]), (labels[u], labels[v])
+
+
+def test_op10_refuses_other_settings(tmp_path):
+    import json
+
+    for path, change in ((BYTE, {}), (WORD, {"normalizer": None}), (WORD, {"pre_tokenizer": {"type": "Whitespace"}})):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f) | change
+        other = str(tmp_path / "other.json")
+        with open(other, "w", encoding="utf-8") as f:
+            json.dump(spec, f)
+        with pytest.raises(ValueError):
+            bpedfa.Vocabulary(other)
+
+
+def test_op10_long_words_and_unknown_ids(spark, libraries):
+    rows = [(1, "ab" * 5000), (2, "\u00e9" * 3000 + " x"), (3, "<|endoftext|>" * 3), (4, " \n "), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in bpedfa.encode(docs, WORD).collect():
+        assert r["ids"] == libraries[1].encode(dict(rows)[r["doc_id"]] or "", add_special_tokens=False).ids
+    with pytest.raises(Exception, match="vocabulary"):
+        bpedfa.codec(WORD).decode([10**6 % 49408, 49408])
+    got = bpedfa.decode(spark.createDataFrame([(1, None), (2, [])], "n int, ids array<int>"), WORD).collect()
+    assert {r["n"]: r["decoded"] for r in got} == {1: None, 2: ""}
 
 
 def test_op3_law(spark):
