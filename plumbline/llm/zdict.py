@@ -1,13 +1,13 @@
 """Toxicity by compression distance with two zstandard dictionaries.
 
-Training uses a bounded sample of labelled rows (``max_toxic``, ``max_ordinary``; near
-copies within the sample count once, since their shared words say nothing about
-toxicity).  The ordinary dictionary is trained by zstandard on windows of ordinary text.
-The toxic dictionary is the same one followed by the segments that set toxic text
-apart: byte strings of 5 to 8 bytes, at word level, that stand in many toxic and few
-ordinary documents, chosen greedily so that each covers words no other covers.  What
-is common to both texts then costs both dictionaries the same, and a window's
-length difference is what toxic segments save.
+Training uses a bounded sample of labelled rows (``max_toxic``, ``max_ordinary`` and
+``max_bytes``; near copies within the sample count once, since their shared words say
+nothing about toxicity).  Two dictionaries are trained by zstandard in the same way, one on
+toxic and one on ordinary text: each on the words that its class holds significantly more
+often than the other (a log-likelihood ratio of document counts, ``SIGNIFICANT``).  Words that
+both classes hold alike would only add noise to the comparison; they go into a third
+trained dictionary that both compressors share, so a window's length difference is what
+the words of one class save against those of the other.
 
 A document is every window of its text, compressed with both dictionaries; the
 differences' maximum, mean and frequencies go through a logistic calibration fitted on sampled
@@ -16,7 +16,8 @@ rows that did not train the dictionaries.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,8 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.logit import Logit
-from plumbline.llm.shared import text_batches
+from plumbline.llm.shared import inline_rows, text_batches
 
+#: Chances below one in a hundred thousand a word, so that few words of a vocabulary pass by luck.
+SIGNIFICANT = 20.0
 
 def windows(text: str | None, size: int) -> list[bytes]:
     """All words of the text in runs of ``size`` bytes or a little more, blanks made single."""
@@ -60,45 +63,38 @@ def _distinct(texts: list[str]) -> list[str]:
     return out
 
 
-def _pieces(word: bytes) -> set[bytes]:
-    padded = b" " + word + b" "
-    return {padded[i : i + n] for n in range(5, 9) for i in range(len(padded) - n + 1)}
-
-
-def contrast_segments(toxic: list[str], ordinary: list[str], ratio: float = 8.0, share: float = 0.012, least: int = 6) -> list[bytes]:
-    """Byte segments of toxic documents' words that ordinary documents seldom hold, strongest first."""
-    tox, plain = Counter(), Counter()
-    for counter, texts in ((tox, toxic), (plain, ordinary)):
-        for text in texts:
-            counter.update(set(text.encode("utf-8").lower().split()))
-    odds = lambda a, b: (a + 0.5) / max(1, len(toxic)) >= ratio * (b + 0.5) / max(1, len(ordinary))
-    left = {w: c for w, c in tox.items() if c >= 3 and len(w) >= 4 and odds(c, plain[w])}
-    holders: dict[bytes, list[bytes]] = defaultdict(list)
-    for word in sorted(left):
-        for piece in _pieces(word):
-            holders[piece].append(word)
-    common = Counter()
-    for word, c in plain.items():
-        for piece in _pieces(word):
-            if piece in holders:
-                common[piece] += c
-    floor = max(least, share * len(toxic))
-    weight = {p: sum(left[w] for w in ws) for p, ws in holders.items()}
-    weight = {p: c for p, c in weight.items() if c >= floor and odds(c, common[p])}
-    chosen: list[bytes] = []
-    while weight:
-        best = max(weight, key=lambda p: (weight[p] * (len(p) - 3), p))
-        if weight[best] < floor:
-            break
-        chosen.append(best)
-        for word in holders[best]:
-            c = left.pop(word, 0)
-            if c:
-                for piece in _pieces(word):
-                    if piece in weight:
-                        weight[piece] -= c
-        del weight[best]
-    return chosen
+def _document_counts(texts: list[str]) -> Counter:
+    out: Counter = Counter()
+    for text in texts:
+        out.update(set(text.encode("utf-8").lower().split()))
+    return out
+
+
+def significance(a: int, n: int, b: int, m: int) -> float:
+    """Log-likelihood ratio of a in n against b in m; negative where the first share is smaller."""
+
+    def fit(k: int, n: int, p: float) -> float:
+        return (k * math.log(p) if k else 0.0) + ((n - k) * math.log(1 - p) if n > k else 0.0)
+
+    if not n or not m:
+        return 0.0
+    both = (a + b) / (n + m)
+    ratio = 2 * (fit(a, n, a / n) + fit(b, m, b / m) - fit(a, n, both) - fit(b, m, both))
+    return ratio if a * m > b * n else -ratio
+
+
+def own_words(texts: list[str], own: Counter, n: int, other: Counter, m: int) -> list[bytes]:
+    """Each occurrence of a word that these texts hold significantly more often than the others."""
+    keep = {w for w, c in own.items() if significance(c, n, other[w], m) >= SIGNIFICANT}
+    return [b" " + w + b" " for t in texts for w in t.encode("utf-8").lower().split() if w in keep]
+
+
+def trained(size: int, samples: list[bytes], **options: int) -> bytes:
+    """A dictionary that zstandard trains on ``samples``; samples too few to train on are its content."""
+    try:
+        return zstandard.train_dictionary(size, samples, **options).as_bytes()[-size:]
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[:size]
 
 
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -132,18 +128,20 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_pair"}
 
 
-def fit(toxic: list[str], ordinary: list[str], toxic_share: float, window: int = 64, dictionary: int = 8192) -> Model:
-    """Train on samples; a fifth of each class calibrates. ``toxic_share``: of all labelled rows."""
+def fit(toxic: list[str], ordinary: list[str], toxic_share: float, window: int = 64, shared: int = 16_384, apart: int = 1_024) -> Model:
+    """Train on samples; a fifth of each class calibrates. ``toxic_share``: of all labelled rows.
+
+    ``shared`` and ``apart``: bytes of the common and of each class's own dictionary.
+    """
     calibrate = [toxic[::5], ordinary[::5]]
-    train = [_distinct([t for i, t in enumerate(x) if i % 5]) for x in (toxic, ordinary)]
-    samples = [w for t in train[1] for w in windows(t, window)]
-    try:
-        base = zstandard.train_dictionary(dictionary, samples[:: max(1, len(samples) // 60_000)]).as_bytes()[-dictionary:]
-    except zstandard.ZstdError:  # too little text to train on
-        base = b"".join(samples)[:dictionary]
-    segments = contrast_segments(*train)
+    bad, good = (_distinct([t for i, t in enumerate(x) if i % 5]) for x in (toxic, ordinary))
+    samples = [w for t in good for w in windows(t, window)]
+    common = trained(shared, samples[:: max(1, len(samples) // 40_000)])
+    counts = _document_counts(bad), _document_counts(good)
+    sides = ((good, counts[1], len(good), counts[0], len(bad)), (bad, counts[0], len(bad), counts[1], len(good)))
     pad = b"\0" * 8  # the last bytes of a dictionary are not indexed
-    model = Model(base + pad, base + b"".join(reversed(segments)) + pad, window, 0.0, np.zeros(6))
+    plain, tox = (common + trained(apart, own_words(*side), k=16, d=6).rjust(apart, b"\0") + pad for side in sides)
+    model = Model(plain, tox, window, 0.0, np.zeros(6))
     if not toxic or not ordinary:
         model.bias = float(np.log((toxic_share + 1e-6) / (1 - toxic_share + 1e-6)))
         return model
@@ -154,16 +152,31 @@ def fit(toxic: list[str], ordinary: list[str], toxic_share: float, window: int =
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2500, max_ordinary: int = 5000, window: int = 64, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from at most ``max_toxic`` and ``max_ordinary`` labelled rows, drawn by hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2500, max_ordinary: int = 5000, max_bytes: int = 48_000_000, window: int = 64, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model from at most ``max_toxic`` and ``max_ordinary`` labelled rows, drawn by hash of the id.
+
+    Texts are taken in that order while they fit ``max_bytes`` together, half for each class; a
+    longer one is passed over whole.  Of rows that repeat an id one is taken; null ids and
+    labels are left out.
+    """
     marked = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y is not null")
     marked = marked.groupBy("_id").agg(F.max("_y").alias("_y"))
     counts = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    text = F.coalesce(F.col(text_col), F.lit(""))
     texts: dict[int, list[str]] = {}
     for y, most in ((1, max_toxic), (0, max_ordinary)):
         ids = marked.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(most)
-        got = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).join(F.broadcast(ids), "_id")
-        texts[y] = [r["_t"] for r in sorted(got.collect(), key=lambda r: (xxhash.xxh3_64_intdigest(str(r["_id"])), r["_t"]))]
+        own = docs.select(F.col(id_col).cast("long").alias("_id"), text.alias("_t"), F.octet_length(text).alias("_n")).join(F.broadcast(ids), "_id")
+        sizes = own.groupBy("_id").agg(F.min(F.struct("_n", F.xxhash64("_t").alias("_h"))).alias("_s")).select("_id", "_s.*").collect()
+        room, chosen = max_bytes // 2, []
+        for r in sorted(sizes, key=lambda r: xxhash.xxh3_64_intdigest(str(r["_id"]))):
+            if r["_n"] <= room:
+                room -= r["_n"]
+                chosen.append((r["_id"], r["_h"]))
+        place = {k: i for i, (k, _) in enumerate(chosen)}
+        wanted = inline_rows(docs.sparkSession, [{"_id": k, "_h": h} for k, h in chosen], "_id long, _h long")
+        got = own.withColumn("_h", F.xxhash64("_t")).join(F.broadcast(wanted), ["_id", "_h"]).select("_id", "_t").dropDuplicates(["_id"]).collect()
+        texts[y] = [r["_t"] for r in sorted(got, key=lambda r: place[r["_id"]])]
     return fit(texts[1], texts[0], counts.get(1, 0) / max(1, sum(counts.values())), window)
 
 

@@ -43,7 +43,7 @@ def test_op5_held_out(spark):
     assert len(got) == spark.read.parquet(f"{BIG}/documents.parquet").count() and got.score.between(0, 1).all()
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 3 == 1 for i in got.doc_id]).all()
     held = got[got.held_out].merge(labels, on="doc_id")
-    assert auc(held.toxic.values, held.score.values) > 0.85
+    assert auc(held.toxic.values, held.score.values) > 0.9
     assert (held.predicted[held.toxic == 0] == 1).mean() < 0.02
 
 
@@ -56,7 +56,26 @@ def test_op5_finds_planted_segments():
     m = zdict.fit(toxic[:100], plain[:300], 0.25)
     y = np.r_[np.ones(20), np.zeros(60)]
     assert auc(y, np.array([m.score(t) for t in toxic[100:] + plain[300:]])) > 0.98
-    assert any(b"zqxfl" in s or b"qxfla" in s or b"flam" in s for s in zdict.contrast_segments(toxic, plain))
+    assert b"zqxflam" in m.toxic and b"zqxflam" not in m.ordinary and len(m.toxic) == len(m.ordinary)
+
+
+def test_op5_sample_is_bounded_in_rows_and_bytes(spark):
+    rows = [(1, "short toxic text")] * 50 + [(2, "x" * 4000)] + [(i, f"plain {i}") for i in range(3, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), *[(i, 0) for i in range(3, 40)], (None, 1), (50, None)], "doc_id long, toxic int")
+    seen = []
+    fit, zdict.fit = zdict.fit, lambda *a: seen.append(a)
+    try:
+        zdict.train(docs, labels, max_ordinary=10, max_bytes=2000)
+    finally:
+        zdict.fit = fit
+    toxic, ordinary, share, _ = seen[0]
+    assert toxic == ["short toxic text"] and len(ordinary) == 10 and share == 2 / 39
+
+
+def test_op5_significance():
+    assert zdict.significance(50, 100, 0, 300) > zdict.SIGNIFICANT > zdict.significance(3, 100, 0, 300) > 0
+    assert zdict.significance(0, 100, 50, 100) < 0 == zdict.significance(0, 0, 1, 5)
 
 
 def test_op5_edges(spark, edges):
