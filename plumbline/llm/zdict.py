@@ -128,28 +128,41 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k != "_pair"}
 
 
-def fit(toxic: list[str], ordinary: list[str], toxic_share: float, window: int = 64, shared: int = 16_384, apart: int = 1_024) -> Model:
+#: Segment lengths and sizes of a class's own dictionary that ``fit`` tries.
+SEGMENTS, SIZES = (10, 16, 24), (768, 1024, 2048)
+
+
+def fit(toxic: list[str], ordinary: list[str], toxic_share: float, window: int = 64, shared: int = 16_384) -> Model:
     """Train on samples; a fifth of each class calibrates. ``toxic_share``: of all labelled rows.
 
-    ``shared`` and ``apart``: bytes of the common and of each class's own dictionary.
+    ``shared``: bytes of the common dictionary.  Which segment length and size zstandard is
+    given for a class's own dictionary is settled on the calibrating rows, too.
     """
-    calibrate = [toxic[::5], ordinary[::5]]
+    held = [toxic[::5], ordinary[::5]]
     bad, good = (_distinct([t for i, t in enumerate(x) if i % 5]) for x in (toxic, ordinary))
     samples = [w for t in good for w in windows(t, window)]
     common = trained(shared, samples[:: max(1, len(samples) // 40_000)])
     counts = _document_counts(bad), _document_counts(good)
-    sides = ((good, counts[1], len(good), counts[0], len(bad)), (bad, counts[0], len(bad), counts[1], len(good)))
+    own = own_words(good, counts[1], len(good), counts[0], len(bad)), own_words(bad, counts[0], len(bad), counts[1], len(good))
     pad = b"\0" * 8  # the last bytes of a dictionary are not indexed
-    plain, tox = (common + trained(apart, own_words(*side), k=16, d=6).rjust(apart, b"\0") + pad for side in sides)
-    model = Model(plain, tox, window, 0.0, np.zeros(6))
-    if not toxic or not ordinary:
-        model.bias = float(np.log((toxic_share + 1e-6) / (1 - toxic_share + 1e-6)))
-        return model
-    rows = [model.features(t) for texts in calibrate for t in texts]
-    y = np.concatenate([np.ones(len(calibrate[0])), np.zeros(len(calibrate[1]))])
-    weight = np.where(y == 1, toxic_share / max(1e-9, y.mean()), (1 - toxic_share) / max(1e-9, 1 - y.mean()))
-    model.bias, model.coef = Logit(0.1).fit(np.array(rows), y, weight).plain
-    return model
+    y = np.concatenate([np.ones(len(held[0])), np.zeros(len(held[1]))])
+    weight = np.where(y == 1, toxic_share / max(1e-9, y.mean()), (1 - toxic_share) / max(1e-9, 1 - y.mean())) if len(y) else y
+    best, least = None, math.inf
+    for k in SEGMENTS:
+        for size in SIZES:
+            plain, tox = (common + trained(size, words, k=k, d=6).rjust(size, b"\0") + pad for words in own)
+            model = Model(plain, tox, window, 0.0, np.zeros(6))
+            if not toxic or not ordinary:
+                model.bias = math.log((toxic_share + 1e-6) / (1 - toxic_share + 1e-6))
+                return model
+            rows = np.array([model.features(t) for texts in held for t in texts])
+            fitted = Logit(0.1).fit(rows, y, weight)
+            model.bias, model.coef = fitted.plain
+            p = np.clip(fitted.prob(rows), 1e-6, 1 - 1e-6)
+            loss = -float(np.sum(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))))
+            if loss < least:
+                best, least = model, loss
+    return best
 
 
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = 2500, max_ordinary: int = 5000, max_bytes: int = 48_000_000, window: int = 64, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
