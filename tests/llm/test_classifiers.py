@@ -56,7 +56,7 @@ def test_op5_finds_planted_segments():
     m = zdict.fit(toxic[:100], plain[:300], 0.25)
     y = np.r_[np.ones(20), np.zeros(60)]
     assert auc(y, np.array([m.score(t) for t in toxic[100:] + plain[300:]])) > 0.98
-    assert b"zqxflam" in m.toxic and b"zqxflam" not in m.ordinary and len(m.toxic) == len(m.ordinary)
+    assert b"zqxfl" in m.toxic and b"zqxfl" not in m.ordinary and len(m.toxic) == len(m.ordinary)
 
 
 def test_op5_sample_is_bounded_in_rows_and_bytes(spark):
@@ -138,21 +138,52 @@ def test_op6_edges(spark, edges):
 
 
 def test_op7_quality(spark):
+    """Held-out accuracy, labels handed over in both directions, and the views one by one."""
     docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
     seen, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1").toPandas()
-    got = cotrain.classify(docs, seen).toPandas().merge(held, on="doc_id")
-    assert auc(got.quality.values, got.score.values) > 0.99
+    got = cotrain.classify(docs, seen).toPandas()
+    assert len(got) == docs.count()
+    got = got.merge(held, on="doc_id")
+    assert auc(got.quality.values, got.score.values) > 0.99 and auc(got.quality.values, got.text_score.values) > 0.99
     assert (~got.accepted[got.quality == 1]).mean() < 0.01
+    model, _ = cotrain.train(docs, seen)
+    assert len(model.rounds) == 3 and all(r["text_to_meta"] == 600 and r["meta_to_text"] == 600 for r in model.rounds)
 
 
-def test_op7_views_exchange_labels():
+def _rows(rng, y, words):
+    texts = [" ".join(rng.choice(words[int(v)], 30)) for v in y]
+    return cotrain.Rows.of(texts, ["en"] * len(y), [f"s{v}{rng.integers(3)}" if rng.random() < 0.9 else "s" for v in y])
+
+
+def test_op7_views_teach_each_other():
+    """Where metadata tell the class, the text view learns words that no labelled row holds."""
     rng = np.random.default_rng(2)
-    y = rng.integers(0, 2, 3000)
-    x, m = rng.normal(size=(3000, 2)) + 3 * y[:, None], rng.normal(size=(3000, 2)) + 2 * y[:, None]
-    model = cotrain.fit(x[:60], m[:60], y[:60], x[60:2000], m[60:2000])
-    assert len(model.rounds) == 4 and sum(r["text_to_meta"] for r in model.rounds) > 100
-    z = np.column_stack([cotrain._clip(b + v[2000:] @ c) for v, (b, c) in ((x, model.text), (m, model.meta))])
-    assert auc(y[2000:], z @ model.joint[1]) > 0.97
+    known = {0: ["bad", "dull", "so"], 1: ["good", "fine", "so"]}
+    fresh = {0: ["wrong", "dim", "so"], 1: ["right", "lit", "so"]}
+    y, pool_y, test_y = (rng.integers(0, 2, n) for n in (80, 1500, 400))
+    rows, pool, test = _rows(rng, y, known), _rows(rng, pool_y, fresh), _rows(rng, test_y, fresh)
+
+    def surest(model):
+        out = {}
+        for view, p in zip(("text", "meta"), model.views(pool)):
+            order = np.argsort(-p, kind="stable")
+            out[view, "good"], out[view, "bad"] = pool.pick(order[:100]), pool.pick(order[-100:])
+        return out
+
+    alone = cotrain.fit(rows, y, lambda m: {}, 1)
+    model = cotrain.fit(rows, y, surest)
+    assert auc(test_y, model.text.decision(test)) > 0.97 > 0.75 > auc(test_y, alone.text.decision(test))
+    assert all(r == {"text_to_meta": 200, "meta_to_text": 200} for r in model.rounds)
+
+
+def test_op7_top_lists_match_sorting(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"l{rng.integers(2)}", float(rng.integers(50)), int(i), b"", b"", b"") for i in range(3000)]
+    schema = "list string, sure double, uid long, x binary, codes binary, meta binary"
+    df = spark.createDataFrame(rows, schema).repartition(9)
+    got = df.mapInArrow(cotrain._top(20), schema).coalesce(1).mapInArrow(cotrain._top(20), schema).collect()
+    want = {k: sorted((-r[1], r[2]) for r in rows if r[0] == k)[:20] for k in ("l0", "l1")}
+    assert {k: sorted((-r["sure"], r["uid"]) for r in got if r["list"] == k) for k in want} == want
 
 
 def test_op7_edges(spark, edges):
@@ -161,6 +192,9 @@ def test_op7_edges(spark, edges):
     kept = cotrain.keep_good(edges, labels)
     assert kept.columns == edges.columns
     assert cotrain.keep_good(edges.where("doc_id > 99"), labels).count() == 0
+    both = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, quality int")
+    bare = edges.select("doc_id", "text")  # no metadata at all
+    assert cotrain.classify(bare, both).count() == len(EDGES) and cotrain.keep_good(bare, both).columns == bare.columns
 
 
 def test_pipeline_stages(spark):
