@@ -42,7 +42,8 @@ def op5_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_forest_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(_docs(spark, sf_dir), secrets.train(spark))
+    docs = _docs(spark, sf_dir)
+    found = secrets.scan(docs, secrets.train(spark, dictionary=secrets.corpus_words(docs)))
     return found.select("doc_id", "nth", F.sha2("value", 256).alias("value_sha256"), F.char_length("value").alias("length"), "score", "is_secret")
 
 

@@ -1,12 +1,14 @@
 """Secret scanning with a random forest over candidate strings.
 
 Built from DataFrame functions only.  Candidates are runs of ``MIN_LENGTH`` or more key
-characters with a digit among them, the value assigned to a key word or quoted after it,
-whatever its length and characters, and the password of a URL; each carries the words
-around it.  Features are
-length, character transitions, entropy, dictionary coverage, the path or source of
-the document, and neighbouring words.  The forest is trained on the driver from a
-bounded table of labelled findings and compiled to SQL conditions, so scoring runs
+characters with a digit or several changes of case in them, the value assigned to a key word
+or quoted after it, whatever its length and characters, and the password of a URL; each
+carries the words around it.  Runs of letters in one case that no key word names are
+ordinary words in most texts and are not looked at.  Features are length, character
+transitions, entropy, dictionary coverage, the path or source of the document, and
+neighbouring words.  The dictionary is the corpus's own most widespread words
+(``corpus_words``) beside a short list of words of code.  The forest is trained on the driver
+from a bounded table of labelled findings and compiled to SQL conditions, so scoring runs
 inside the scan and false positives never leave it as rows of their own job.
 """
 
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 MIN_LENGTH = 12
 RUN = r"[A-Za-z0-9+/_=~-]{12,}"
-#: A run with a digit in it, used to pass documents and words without candidates quickly.
-HAS_RUN = r"(?=[A-Za-z+/_=~-]{0,200}[0-9])[A-Za-z0-9+/_=~-]{12,}"
+#: What a run must hold: a digit, or three changes from a small to a capital letter.
+TELLING = r"[0-9]|(?:[a-z][A-Z][A-Za-z+/_=~-]*?){3}"
+#: A run with one of these in it, used to pass documents and words without candidates quickly.
+HAS_RUN = r"(?=[A-Za-z+/_=~-]{0,200}[0-9]|[A-Za-z+/_=~-]{0,200}?(?:[a-z][A-Z][A-Za-z+/_=~-]{0,200}?){3})[A-Za-z0-9+/_=~-]{12,}"
 WORDS = (
     "about access account admin alpha apple assets backup banner basic beta billing block board branch build cache cancel chart class client cloud code config connect "
     "content count data date default deploy design device docs domain email engine error event example export feature field file filter final first font form format "
@@ -68,16 +72,27 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
     )
     found = rows.select("doc_id", "path", F.posexplode(at).alias("spot", "s"))
-    runs = F.filter(F.regexp_extract_all("s.token", F.lit(RUN), F.lit(0)), lambda v: v.rlike("[0-9]"))
+    runs = F.filter(F.regexp_extract_all("s.token", F.lit(RUN), F.lit(0)), lambda v: v.rlike(TELLING))
     bare = lambda v: F.regexp_replace(v, r"""^["'`]|["'`]$|[,;)\]}]+$""", "")
     named = F.concat(F.transform(F.regexp_extract_all("s.token", F.lit(KEYED), F.lit(1)), bare), F.regexp_extract_all("s.token", F.lit(LOGIN), F.lit(1)))
     more = F.array_except(F.filter(named, lambda v: v != ""), runs)
     each = found.select("doc_id", "path", "spot", "s.*", F.posexplode(F.concat(runs, more)).alias("part", "value"))
-    nth = F.col("spot") * 1000 + F.col("part")
-    return each.select("doc_id", nth.cast("long").alias("nth"), "value", "token", "before", "after", "path")
+    nth = F.shiftleft(F.col("spot").cast("long"), 32) + F.col("part")
+    return each.select("doc_id", nth.alias("nth"), "value", "token", "before", "after", "path")
 
 
-def features(value: Column, token: Column, before: Column, path: Column) -> dict[str, Column]:
+def corpus_words(docs: DataFrame, most: int = 300, text_col: str = "text") -> list[str]:
+    """The words of 4 to 12 letters a-z that stand in the most documents; ties by the alphabet.
+
+    Counts cover every document; only the ``most`` leaders reach the driver.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("(?<![a-z])[a-z]{4,12}(?![a-z])"), F.lit(0)))
+    leaders = docs.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    return [r["word"] for r in leaders.collect()]
+
+
+def features(value: Column, token: Column, before: Column, path: Column, dictionary: list[str] = ()) -> dict[str, Column]:
+    """The columns of ``NAMES``; ``dictionary``: words beside ``WORDS`` that count as coverage."""
     n = F.char_length(value).cast("double")
     count = lambda pattern: (F.char_length(value) - F.char_length(F.regexp_replace(value, pattern, ""))) / n
     runs = value
@@ -86,7 +101,7 @@ def features(value: Column, token: Column, before: Column, path: Column) -> dict
     chars = F.filter(F.split(value, ""), lambda c: c != "")
     freq = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda d: d == c)) / n)
     entropy = F.aggregate(freq, F.lit(0.0), lambda a, p: a - p * F.log2(p))
-    words = "(?i)(" + "|".join(sorted((w for w in WORDS if len(w) > 2), key=lambda w: (-len(w), w))) + ")"
+    words = "(?i)(" + "|".join(sorted((w for w in {*WORDS, *dictionary} if len(w) > 2), key=lambda w: (-len(w), w))) + ")"
     prior = F.coalesce(before, F.lit(""))
     place = F.coalesce(path, F.lit(""))
     flag = lambda c: c.cast("double")
@@ -216,15 +231,25 @@ class Forest:
         return sum((F.expr(sql(t)) for t in self.trees[1:]), F.expr(sql(self.trees[0]))) / len(self.trees)
 
 
-def train(spark: SparkSession, findings: list[dict] | None = None, max_findings: int = 5000, **options) -> Forest:
-    """From at most ``max_findings`` labelled findings (value, token, before, path, label)."""
-    from plumbline.llm.shared import inline_rows
+def train(spark: SparkSession, findings: list[dict] | DataFrame | None = None, max_findings: int = 5000, dictionary: list[str] = (), **options) -> Forest:
+    """From at most ``max_findings`` labelled findings (value, token, before, path, label).
 
-    rows = (findings or sample_findings())[:max_findings]
-    table = inline_rows(spark, [r | {"nth": i} for i, r in enumerate(rows)], "nth int, value string, token string, before string, path string, label int")
-    got = table.select("nth", "label", F.array(*features(F.col("value"), F.col("token"), F.col("before"), F.col("path")).values()).alias("x")).collect()
-    got.sort(key=lambda r: r["nth"])
-    return Forest(**options).fit(np.array([r["x"] for r in got], float), np.array([r["label"] for r in got], float))
+    A table of more is drawn from by hash of the value; without any, made-up ones serve.
+    """
+    if isinstance(findings, DataFrame):
+        table = findings.select("value", "token", "before", "path", F.col("label").cast("int").alias("label")).dropna(subset=["value", "token", "label"])
+        table = table.orderBy(F.xxhash64("value", "token", "before"), "value", "token", "before", "path", "label").limit(max_findings)
+    else:
+        from plumbline.llm.shared import inline_rows
+
+        rows = (findings or sample_findings())[:max_findings]
+        table = inline_rows(spark, rows, "value string, token string, before string, path string, label int")
+    wide = F.array(*features(F.col("value"), F.col("token"), F.col("before"), F.col("path"), dictionary).values())
+    got = sorted(tuple([r["label"], *r["x"]]) for r in table.select("label", wide.alias("x")).collect())
+    grid = np.array(got, float).reshape(len(got), 1 + len(NAMES))
+    forest = Forest(**options).fit(grid[:, 1:], grid[:, 0])
+    forest.dictionary = list(dictionary)
+    return forest
 
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
@@ -234,7 +259,16 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
     that repeat are scanned each.
     """
     found = candidates(docs, id_col, text_col, path_col)
-    feats = features(F.col("value"), F.col("token"), F.col("before"), F.col("path"))
+    feats = features(F.col("value"), F.col("token"), F.col("before"), F.col("path"), forest.dictionary)
     wide = found.withColumns({f"_{k}": v for k, v in feats.items()})
     scored = wide.withColumn("score", forest.column([f"_{k}" for k in NAMES]))
     return scored.select("doc_id", "nth", "value", "score", (F.col("score") >= threshold).alias("is_secret"))
+
+
+def without_secrets(docs: DataFrame, forest: Forest, threshold: float = 0.5, mask: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
+    """doc_id, text_hash and the text with every found secret replaced, for rows that hold one."""
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"), (F.col(path_col) if path_col in docs.columns else F.lit(None)).alias("path"))
+    bad = scan(keyed, forest, threshold, path_col="path").where("is_secret").groupBy("doc_id").agg(F.collect_set("value").alias("values"))
+    longest_first = F.array_sort("values", lambda a, b: F.length(b) - F.length(a))
+    hidden = F.aggregate(longest_first, F.col("text"), lambda t, v: F.replace(t, v, F.lit(mask)))
+    return keyed.join(bad, "doc_id").select("doc_id", "text_hash", hidden.alias("text"))
