@@ -39,6 +39,8 @@ from plumbline.llm.components import components
 from plumbline.llm.shared import mix64, partitions, staged, text_batches, word_spans
 
 COORDS = 64
+#: Hubs of a family and round double from the first round on, up to so many (each task holds them).
+MOST_HUBS = 256
 _rng = np.random.default_rng(20)
 _MULT = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64)
@@ -264,16 +266,17 @@ def _hub_round(members: DataFrame, docs: DataFrame, width: int, percent: int, hu
         "to": F.transform(F.filter(pairs, is_link), lambda p: p["hub_keys"]),
         "d": F.transform(pairs, lambda p: 1 - p["common"] / (p["sizes"] + F.col("n") - p["common"])),
     })
-    links = dist.select(F.col("key").alias("a"), F.explode("to").alias("b"))
-    # Hubs that share a linked member are one cluster; the largest holds the main members.
-    sets = dist.where(F.size("to") > 0).groupBy("fam", F.array_sort("to").alias("to")).agg(F.count("*").alias("m"))
-    merged = sets.groupBy("fam").agg(F.collect_list(F.struct("m", "to")).alias("sets"))
-    grow = lambda acc, s: F.when(F.arrays_overlap(acc, s["to"]), F.array_union(acc, s["to"])).otherwise(acc)
-    seed = F.element_at(F.array_sort("sets"), -1)["to"]
-    for _ in range(max(1, hubs - 1)):
-        seed = F.aggregate("sets", seed, grow)
-    main = merged.select("fam", seed.alias("main_hubs"))
-    marked = dist.join(main, "fam", "left").withColumn("main", F.coalesce(F.arrays_overlap("to", "main_hubs"), F.lit(False)))
+    # A member is tied to one of its hubs, and its hubs to each other: clusters, not all links.
+    tied = dist.where(F.size("to") > 0).withColumn("to", F.array_sort("to"))
+    own = tied.select(F.col("key").alias("a"), F.get("to", F.lit(0)).alias("b"))
+    chain = tied.select("to").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.size("to")), lambda i: F.struct(F.get("to", i - 1).alias("a"), F.get("to", i).alias("b")))).alias("e")).select("e.*")
+    links = staged(own.unionByName(chain.where(F.col("b").isNotNull()).distinct()), "hub-links")
+    roots = components(links).select(F.col("node").alias("key"), "root")
+    placed = dist.join(roots, "key", "left")
+    # The largest cluster of hubs and what is linked to them holds the main members.
+    sizes = placed.where(F.col("root").isNotNull()).groupBy("fam", "root").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("fam").agg(F.max(F.struct("m", "root")).alias("most")).select("fam", F.col("most.root").alias("main_root"))
+    marked = placed.join(main, "fam", "left").withColumn("main", F.coalesce(F.col("root") == F.col("main_root"), F.lit(False))).drop("root", "main_root")
     spread = marked.where(~F.col("main")).select("fam", F.posexplode("d").alias("i", "x")).groupBy("fam", "i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     bounds = spread.groupBy("fam").agg(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))).alias("bounds"))
     reach = 1 - percent / 100 + 1e-9
@@ -358,7 +361,7 @@ def labelled(docs: DataFrame, width: int = 2, percent: int = 80, miss: float = 1
         large = left.where("large").drop("large")
         if large.isEmpty():
             break
-        got, rest = _hub_round(large, texts, width, percent, hubs, turn)
+        got, rest = _hub_round(large, texts, width, percent, min(hubs << turn, max(hubs, MOST_HUBS)), turn)
         links.append(got)
         left = staged(rest, "hub-left")
         turn += 1

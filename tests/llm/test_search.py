@@ -65,6 +65,40 @@ def test_op4_matches_brute_force(spark, options):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_op4_long_chain_in_hub_rounds(spark):
+    """A chain whose ends share nothing, all of it in one family, settles in few rounds."""
+    words = [f"x{i}" for i in range(1500)]
+    rows = [(200 - k, " ".join(words[6 * k : 6 * k + 120])) for k in range(200)]
+    want, _ = near_brute(rows, 2)
+    turns = []
+    plain = cpsjoin._hub_round
+    cpsjoin._hub_round = lambda *a: turns.append(a[4]) or plain(*a)
+    try:
+        got = cpsjoin.cluster(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80, family_work=1.0, hubs=4).collect()
+    finally:
+        cpsjoin._hub_round = plain
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want and len({c for _, c in want.values()}) == 1
+    assert turns[:3] == [4, 8, 16] and len(turns) <= 7
+
+
+def test_op4_recall_against_all_rows(spark):
+    """Every row whose id is divisible by 50 against all rows of 10,000, by exact sets."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: cpsjoin.shingles(r["text"], 2) for r in docs.collect()}
+    holders = defaultdict(list)
+    for i, items in sets.items():
+        for x in items.tolist():
+            holders[x].append(i)
+    component = {r["doc_id"]: r["component_id"] for r in cpsjoin.cluster(docs, 2, 80).collect()}
+    linked = found = 0
+    for q in (i for i in sets if i % 50 == 0):
+        for j, n in Counter(j for x in sets[q].tolist() for j in holders[x]).items():
+            if j != q and cpsjoin.linked(n, len(sets[q]), len(sets[j]), 80):
+                linked += 1
+                found += component[q] == component[j]
+    assert linked > 40 and found == linked, (found, linked)
+
+
 def test_op4_chains_reach_the_least_id(spark):
     words = [f"x{i}" for i in range(100)]
     rows = [(9 - k, " ".join(words[4 * k : 4 * k + 60])) for k in range(10)]
