@@ -6,9 +6,10 @@ word of every benchmark window).  A probe that answers proposes a position, and
 whole window is then compared word by word before it counts.  Documents without
 a hit leave the scan as a single row.
 
-The window table is broadcast while its rows stay under ``broadcast_rows``; beyond
-that the same join runs as a shuffle join, with the words of a document sent only for
-the proposed positions.
+The window table is broadcast while it holds at most ``broadcast_bytes``, words and item
+ids counted; beyond that the same join runs as a shuffle join on the anchor, whose hot
+words adaptive execution splits, and the words of a document are sent only for the
+proposed positions.
 """
 
 from __future__ import annotations
@@ -45,44 +46,44 @@ def benchmark_windows(benchmark: DataFrame, width: int, id_col: str, text_col: s
     )
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_rows: int = 2_000_000) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_bytes: int = 128_000_000) -> DataFrame:
     """One row per document key (doc_id, text hash): n_words, spans, items.
 
     ``spans`` holds distinct (start, length) of verified windows, in word positions.
     Rows that repeat both id and text share a key; ``n_rows`` counts them.
     """
     grams = benchmark_windows(benchmark, width, item_col, item_text)
-    mark = docs.sparkSession.range(1).select(*[F.lit(SENTINEL if f.name == "anchor" else None).cast(f.dataType).alias(f.name) for f in grams.schema])
-    table = grams.unionByName(mark)
-    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).alias("crc"), words_of(F.col(text_col)).alias("w"))
     is_mark = F.col("anchor") == SENTINEL
+    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("key"), F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")).alias("crc"), words_of(F.col(text_col)).alias("w"))
+    own = ["doc_id", "key", "crc"]
     start = F.col("pos") - F.col("off")
     # The whole window is compared before it counts; its words leave the scan with no row.
     same = (start >= 0) & (F.slice("w", F.greatest(start + 1, F.lit(1)), F.size("gram")) == F.col("gram"))
-    if grams.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        probes = split.select("doc_id", "key", "crc", "w", F.posexplode(F.concat("w", F.array(F.lit(SENTINEL)))).alias("pos", "anchor"))
-        found = probes.join(F.broadcast(table), "anchor").where(is_mark | same)
-    else:
-        probes = split.select("doc_id", "key", "crc", F.posexplode(F.concat("w", F.array(F.lit(SENTINEL)))).alias("pos", "anchor"))
-        proposed = probes.join(table, "anchor")
-        words = split.select(F.col("doc_id").alias("own_id"), F.col("key").alias("own_key"), F.col("crc").alias("own_crc"), "w").dropDuplicates(["own_id", "own_key", "own_crc"])
-        own = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("key") == F.col("own_key")) & (F.col("crc") == F.col("own_crc"))
-        found = proposed.join(words, own).where(is_mark | same)
-    rows = found.select(
-        "doc_id",
-        "key",
-        "crc",
-        F.when(is_mark, F.size("w")).alias("words"),
-        F.when(is_mark, 1).otherwise(0).alias("mark"),
-        F.when(~is_mark, F.struct(start.alias("start"), F.size("gram").alias("n"))).alias("span"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-    )
-    return rows.groupBy("doc_id", "key", "crc").agg(
-        F.max("words").alias("n_words"),
-        F.sum("mark").alias("n_rows"),
-        F.array_sort(F.collect_set("span")).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
+    span = F.struct(start.alias("start"), F.size("gram").alias("n"))
+    merged = [F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item")).alias("items")]
+    if table_bytes(grams) <= broadcast_bytes:
+        # One more word for each row stands for the row itself, so that the scan needs no second pass.
+        mark = docs.sparkSession.range(1).select(*[F.lit(SENTINEL if f.name == "anchor" else None).cast(f.dataType).alias(f.name) for f in grams.schema])
+        probes = split.select(*own, "w", F.posexplode(F.concat("w", F.array(F.lit(SENTINEL)))).alias("pos", "anchor"))
+        found = probes.join(F.broadcast(grams.unionByName(mark)), "anchor").where(is_mark | same)
+        rows = found.select(*own, F.when(is_mark, F.size("w")).alias("words"), F.when(is_mark, 1).otherwise(0).alias("mark"), F.when(~is_mark, span).alias("span"), F.explode_outer("items").alias("item"))
+        return rows.groupBy(*own).agg(F.max("words").alias("n_words"), F.sum("mark").alias("n_rows"), *merged)
+    counted = split.groupBy(*own).agg(F.max(F.size("w")).alias("n_words"), F.count("*").alias("n_rows"))
+    proposed = split.select(*own, F.posexplode("w").alias("pos", "anchor")).join(grams.hint("merge"), "anchor")
+    right = [F.col(c).alias(f"own_{c}") for c in own]
+    words = split.select(*right, "w").dropDuplicates([f"own_{c}" for c in own])
+    match = [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in own]
+    hit = proposed.join(words, match[0] & match[1] & match[2]).where(same).select(*own, span.alias("span"), F.explode("items").alias("item"))
+    per = hit.groupBy(*own).agg(*merged).select(*[F.col(c).alias(f"own_{c}") for c in own], "spans", "items")
+    out = counted.join(per, match[0] & match[1] & match[2], "left")
+    spans, items = per.schema["spans"].dataType, per.schema["items"].dataType
+    return out.select(*own, "n_words", "n_rows", F.coalesce("spans", F.array().cast(spans)).alias("spans"), F.coalesce("items", F.array().cast(items)).alias("items"))
+
+
+def table_bytes(grams: DataFrame) -> int:
+    """About what the window table takes in memory: its words, its item ids and their slots."""
+    size = F.octet_length(F.array_join("gram", "")) + F.octet_length(F.array_join("items", "")) + 32 * (F.size("gram") + F.size("items")) + 100
+    return grams.agg(F.sum(size)).first()[0] or 0
 
 
 def covered(spans: Column) -> Column:

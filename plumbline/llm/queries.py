@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,8 +79,6 @@ QUERIES = {
     )
 }
 
-QUERIES["pipeline"] = corpus_pipeline.run
-
 ORACLES = {
     "op2_cuckoo_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,

@@ -185,18 +185,20 @@ LEAKY = [
 ]
 
 
-@pytest.mark.parametrize("bound", [2_000_000, 1])
+@pytest.mark.parametrize("bound", [128_000_000, 1])
 def test_op8_matches_brute_force(spark, bound):
+    """Both sides of the broadcast bound, whole rows."""
     df = spark.createDataFrame([(*r, "r", 1, 2, "k", "d", "w") for r in LEAKY], DOCS)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = Counter(map(tuple, decontam.scan(df, items, broadcast_rows=bound).collect())) if bound == 2_000_000 else None
-    if got is None:
-        per = decontam.hits(df, items, broadcast_rows=1).collect()
-        bad = {(r["doc_id"], tuple(r["items"])) for r in per if r["spans"]}
-        wanted = {r[0] for r in leaks_brute(LEAKY, ITEMS) if r[5]}
-        assert {d for d, _ in bad} == wanted
-        return
-    assert got == leaks_brute(LEAKY, ITEMS)
+    assert Counter(map(tuple, decontam.scan(df, items, broadcast_bytes=bound).collect())) == leaks_brute(LEAKY, ITEMS)
+    cut = {r["doc_id"]: r["text"] for r in decontam.remove_spans(df, items, broadcast_bytes=bound).collect()}
+    assert cut[2] == "a" and cut[5] == "" and cut[1] == "x y alpha"
+
+
+def test_op8_bound_counts_bytes(spark):
+    items = spark.createDataFrame([(i, " ".join(f"word{i}x{j}" for j in range(30))) for i in range(50)], "item_id long, text string")
+    grams = decontam.benchmark_windows(items, 10, "item_id", "text")
+    assert 21 * 50 * 10 * 8 < decontam.table_bytes(grams) < 21 * 50 * 1000 and decontam.table_bytes(grams.where("off > 99")) == 0
 
 
 def test_op8_removal(spark):
