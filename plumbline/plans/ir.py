@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -85,10 +86,12 @@ def col(name: str):
     return F.col(f"`{name}`")
 
 
+_PART = re.compile(r"`[^`]*`|'(?:[^'\\]|\\.)*'|\w+\.\w+")
+
+
 def _expr(text: str, df: DataFrame):
-    for c in sorted(df.columns, key=len, reverse=True):
-        text = text.replace(c, f"`{c}`") if f"`{c}`" not in text else text
-    return F.expr(text)
+    names = set(df.columns)
+    return F.expr(_PART.sub(lambda m: f"`{m[0]}`" if m[0] in names else m[0], text))
 
 
 def _sub(s: Sub, frames: Frames) -> DataFrame:
