@@ -51,18 +51,26 @@ def describe(spark: SparkSession, text: str, catalog: Catalog, args: dict | None
     params = parameters(text)
     values = {p: (args or {}).get(p) for p in params}
     df = spark.sql(text, args=values) if params else spark.sql(text)
-    narrowed = not_null_after(text)
-    columns = tuple(Column(f.name, f.dataType.simpleString(), f.nullable and f.name not in narrowed) for f in df.schema)
+    narrowed = never_null(df)
+    columns = tuple(Column(f.name, f.dataType.simpleString(), f.nullable and i not in narrowed) for i, f in enumerate(df.schema))
     return Description(columns, params)
 
 
-def not_null_after(text: str) -> set[str]:
-    """Output columns that a top-level WHERE proves not null: ``c IS NOT NULL`` joined by AND only."""
-    bare = _STRING.sub("''", text)
-    m = re.search(r"\bWHERE\b(.*?)(\bGROUP BY\b|\bORDER BY\b|\bLIMIT\b|$)", bare, re.S | re.I)
-    if not m or re.search(r"\bOR\b|\(|\bUNION\b", m[1], re.I) or len(re.findall(r"\bSELECT\b", bare, re.I)) != 1:
-        return set()
-    return {c.rpartition(".")[2] for c in re.findall(r"([\w.]+)\s+IS\s+NOT\s+NULL", m[1], re.I)}
+def never_null(df: DataFrame) -> set[int]:
+    """Places of output columns that the analysed plan's constraints prove not null.
+
+    Constraints are the analyzer's own: what filters and joins let through, carried
+    through projections under the attribute's identity, never by name.
+    """
+    plan = df._jdf.queryExecution().analyzed()
+    found = set()
+    each = plan.constraints().toList().iterator()
+    while each.hasNext():
+        held = each.next()
+        if held.getClass().getSimpleName() == "IsNotNull" and held.child().getClass().getSimpleName() == "AttributeReference":
+            found.add(held.child().exprId().id())
+    output = plan.output()
+    return {i for i in range(output.size()) if output.apply(i).exprId().id() in found}
 
 
 def annotated(df: DataFrame) -> DataFrame:

@@ -11,9 +11,11 @@ from plumbline.plans import demo
 from plumbline.plans.catalog import STAR, Catalog, Table
 from plumbline.plans.describe import describe, diff, parameters
 from plumbline.plans.ir import CountTest, Exists, Frames, Join, NotIn, Select, Sub, Union, build
-from plumbline.plans.lint import lint_catalog, lint_query, lint_text, report
+from plumbline.plans.fromsql import query, run_sql
+from plumbline.plans.lint import lint_catalog, lint_query, lint_sql, lint_text, report
 from plumbline.plans.proofs import at_least_one_row, at_most_one_row, distinct_rows
 from plumbline.plans.rules import run, simplify
+from plumbline.plans.syntax import Unknown
 
 
 def test_declarations_hold(spark):
@@ -90,10 +92,25 @@ def test_describe(spark):
     assert diff(d, other) == ["- o_orderkey", "- n"]
 
 
-def test_lint():
+def test_lint(spark):
     rules = lambda fs: [f.rule for f in fs]
     assert rules(lint_text("SELECT * FROM t WHERE x = NULL LIMIT 3")) == ["null_comparison", "limit_without_order"]
     assert rules(lint_text("DELETE FROM t")) == ["unbounded_write"]
+    # clauses of other queries in the text don't silence a rule
+    assert rules(lint_text("DELETE FROM t WHERE true")) == ["unbounded_write"]
+    assert rules(lint_text("UPDATE t SET a = (SELECT max(b) FROM u WHERE c = 1)")) == ["unbounded_write"]
+    assert rules(lint_text("SELECT a, rank() OVER (ORDER BY b) FROM t LIMIT 3")) == ["limit_without_order"]
+    assert rules(lint_text("SELECT a FROM (SELECT a FROM t ORDER BY a LIMIT 9) LIMIT 3 OFFSET 1")) == ["limit_without_order"]
+    assert rules(lint_text("SELECT a FROM t ORDER BY a LIMIT 3 OFFSET 2")) == [] and rules(lint_text("SELECT count(*) FROM t LIMIT 1")) == []
+    assert rules(lint_text("SELECT a FROM t WHERE EXISTS (SELECT 1 FROM u WHERE NULL <> x)")) == ["null_comparison"]
+    assert rules(lint_text("no statement at all")) == []
+    sql = lambda text, fetch="all": rules(lint_sql(text, STAR, fetch))
+    assert sql("SELECT DISTINCT o_orderkey FROM orders") == ["redundant_distinct"]
+    assert sql("SELECT o_orderkey FROM orders WHERE o_orderkey = 4 LIMIT 1") == ["limit_without_order", "redundant_limit", "fetch_all_single_row"]
+    assert sql("SELECT o_orderkey FROM orders WHERE coalesce(o_custkey, 0) > 3", "one") == ["redundant_null_check", "fetch_may_return_many"]
+    assert sql("SELECT o_orderkey FROM orders o WHERE o.o_custkey IS NULL") == ["redundant_null_check"]
+    loose = Catalog(*[replace(STAR[t], not_null=frozenset()) for t in STAR.tables])
+    assert rules(lint_sql("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", loose)) == ["not_in_nullable"]
     assert rules(lint_text("SELECT 'x = NULL' FROM t WHERE a LIKE :p")) == ["like_unescaped_param"]
     assert rules(lint_text("UPDATE t SET a = 1 WHERE b = 2")) == []
     assert "redundant_distinct" in rules(lint_query(demo.DISTINCT, STAR))
@@ -102,3 +119,43 @@ def test_lint():
     assert "fetch_may_return_many" in rules(lint_query(demo.FK, STAR, "one"))
     assert "prefer_timestamptz" in rules(lint_catalog(STAR))
     assert json.loads(report(lint_text("DELETE FROM t"), "sarif"))["runs"][0]["results"][0]["ruleId"] == "unbounded_write"
+
+
+@pytest.mark.parametrize("name", list(demo.CASES))
+def test_same_query_from_text(spark, name):
+    """Each case's text gives a query that the same rules change, with the same rows."""
+    by_hand, text = demo.CASES[name]
+    parsed = query(text, STAR, spark)
+    assert simplify(parsed, STAR)[1] == simplify(by_hand, STAR)[1]
+    tables = {t: table(spark, SF, t) for t in STAR.tables}
+    got, used = run_sql(spark, text, STAR, tables)
+    assert used and sorted(map(tuple, got.collect())) == sorted(map(tuple, spark.sql(text).collect()))
+
+
+def test_text_outside_the_form_is_left_alone(spark):
+    tables = {t: table(spark, SF, t) for t in STAR.tables}
+    for text in (
+        "SELECT o_custkey, sum(o_totalprice) AS s FROM orders GROUP BY o_custkey",
+        "SELECT c_custkey FROM customer WHERE c_custkey + 1 NOT IN (SELECT o_custkey FROM orders)",
+        "SELECT o_orderkey FROM orders CROSS JOIN region",
+        "WITH q AS (SELECT 1 AS x) SELECT x FROM q",
+        "SELECT c_custkey FROM customer WHERE (SELECT count(o_custkey) FROM orders WHERE c_custkey = o_custkey) > 0",
+    ):
+        with pytest.raises(Unknown):
+            query(text, STAR, spark)
+        assert run_sql(spark, text, STAR, tables)[1] == []
+    # the parent is read by the condition, so its join stays
+    read = "SELECT o_orderkey AS k FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0"
+    assert run_sql(spark, read, STAR, tables)[1] == []
+
+
+def test_never_null_goes_by_identity(spark):
+    null = lambda text: [c.nullable for c in describe(spark, text, LOOSE).columns]
+    assert null("SELECT nullif(x, 1) AS c, c AS d FROM loose WHERE c IS NOT NULL") == [True, False]
+    assert null("SELECT c FROM loose WHERE c IS NOT NULL OR x > 1") == [True]
+    assert null("SELECT a.c, b.x FROM loose a JOIN loose b ON a.c = b.x") == [False, False]
+    assert null("SELECT a.c, b.x FROM loose a LEFT JOIN loose b ON a.c = b.x") == [True, True]
+    assert null("SELECT c FROM (SELECT c FROM loose WHERE c > 3) UNION ALL SELECT c FROM loose") == [True]
+
+
+LOOSE = Catalog(Table("loose", {"x": "int", "c": "int"}))
