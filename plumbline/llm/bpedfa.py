@@ -123,52 +123,81 @@ def compile_arcs(vocab: Vocabulary) -> np.ndarray:
     return arcs
 
 
-def compile_spellings(vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Transitions [node, byte] of the trie of spellings, completed by suffix links; for each node
-    the longest inner and the longest final token that end there; for each token the next
-    shorter one of its kind (-1: none)."""
-    prefixes = {b[:k] for b in vocab.bodies for k in range(len(b) + 1)}
-    order = sorted(prefixes, key=lambda p: (len(p), p))
-    number = {p: i for i, p in enumerate(order)}
-    go = np.zeros((len(order), 256), np.int32)
-    fail = np.zeros(len(order), np.int64)
-    children: list[list[tuple[int, int]]] = [[] for _ in order]
-    for i, p in enumerate(order[1:], 1):
-        children[number[p[:-1]]].append((p[-1], i))
-    ends = np.full((2, len(order)), -1, np.int32)
-    for t, body in enumerate(vocab.bodies):
-        for kind, flag in enumerate((vocab.inner, vocab.final)):
-            if flag[t]:
-                ends[kind, number[body]] = t
-    shorter = np.full((2, len(vocab.labels)), -1, np.int32)
-    for i in range(len(order)):  # by length, so the node of a suffix link is complete
-        if i:
-            go[i] = go[fail[i]]
+def shared(arcs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the set of each token, the bits of each set): every distinct row of ``arcs`` once."""
+    seen: dict[bytes, int] = {}
+    of = np.array([seen.setdefault(row.tobytes(), len(seen)) for row in arcs], np.int32)
+    return of, np.frombuffer(b"".join(seen), np.uint8).reshape(len(seen), -1)
+
+
+class Spellings:
+    """The trie of token spellings, completed by suffix links.
+
+    ``step``: transitions.  A node without longer spellings goes on as its suffix link does and
+    shares its row; a byte that leads to the same node from everywhere has no column.
+    ``ends``: for each kind (inner, final) and node the longest token that ends there, and
+    ``shorter`` for each token the next one of its kind (-1: none).
+    """
+
+    def __init__(self, vocab: Vocabulary):
+        order = sorted({b[:k] for b in vocab.bodies for k in range(len(b) + 1)}, key=lambda p: (len(p), p))
+        number = {p: i for i, p in enumerate(order)}
+        children: dict[int, list[tuple[int, int]]] = {}
+        for i, p in enumerate(order[1:], 1):
+            children.setdefault(number[p[:-1]], []).append((p[-1], i))
+        kinds = (vocab.inner, vocab.final)
+        self.ends = np.full((2, len(order)), -1, np.int32)
+        self.shorter = np.full((2, len(vocab.labels)), -1, np.int32)
+        for t, body in enumerate(vocab.bodies):
             for kind in (0, 1):
-                if ends[kind, i] < 0:
-                    ends[kind, i] = ends[kind, fail[i]]
-                else:
-                    shorter[kind, ends[kind, i]] = ends[kind, fail[i]]
-        for byte, child in children[i]:
-            fail[child] = go[i, byte] if i else 0
-            go[i, byte] = child
-    return go, ends[0], ends[1], shorter[0], shorter[1]
+                if kinds[kind][t]:
+                    self.ends[kind, number[body]] = t
+        go = np.zeros((len(children), 256), np.int32)
+        self.row = np.zeros(len(order), np.int32)
+        fail = np.zeros(len(order), np.int64)
+        rows = 0
+        for i in range(len(order)):  # by length, so what a suffix link leads to is complete
+            if i:
+                for kind in (0, 1):
+                    if self.ends[kind, i] < 0:
+                        self.ends[kind, i] = self.ends[kind, fail[i]]
+                    else:
+                        self.shorter[kind, self.ends[kind, i]] = self.ends[kind, fail[i]]
+            below = children.get(i)
+            if not below:
+                self.row[i] = self.row[fail[i]]
+                continue
+            self.row[i] = rows
+            if i:
+                go[rows] = go[self.row[fail[i]]]
+            for byte, child in below:
+                fail[child] = go[rows, byte]
+                go[rows, byte] = child
+            rows += 1
+        same = (go == go[0]).all(axis=0)
+        self.fixed = np.where(same, go[0], -1).astype(np.int32)
+        self.slot = np.where(same, 0, np.cumsum(~same) - 1).astype(np.int32)
+        self.go = np.ascontiguousarray(go[:, ~same])
+
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        fixed = self.fixed[byte]
+        return np.where(fixed >= 0, fixed, self.go[self.row[node], self.slot[byte]])
 
 
 class MergeAutomaton:
-    """The compiled tables of one tokenizer file; ``arcs`` may come ready-made (see ``compile_arcs``)."""
+    """The compiled tables of one tokenizer file; ``arcs`` may come ready-made (see ``shared``)."""
 
-    def __init__(self, path: str, arcs: np.ndarray | None = None):
+    def __init__(self, path: str, arcs: tuple[np.ndarray, np.ndarray] | None = None):
         self.vocab = Vocabulary(path)
-        self.arcs = compile_arcs(self.vocab) if arcs is None else arcs
-        self.go, self.inner_end, self.final_end, self.inner_shorter, self.final_shorter = compile_spellings(self.vocab)
+        self.follows, self.arcs = arcs or shared(compile_arcs(self.vocab))
+        self.spelling = Spellings(self.vocab)
         self.length = np.array([len(b) for b in self.vocab.bodies], np.int32)
         self.state = self.vocab.state
 
     def arc(self, u: np.ndarray | int, v: np.ndarray | int) -> np.ndarray:
         """Whether token v may follow token u (-1: the start of a word)."""
         at = self.state[u]
-        return (self.arcs[v, at >> 3] >> (at & 7) & 1).astype(bool)
+        return (self.arcs[self.follows[v], at >> 3] >> (at & 7) & 1).astype(bool)
 
     def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of non-empty words (bytes ``data[offsets[i]:offsets[i + 1]]``), flat, and their offsets.
@@ -188,11 +217,12 @@ class MergeAutomaton:
         for j in range(int(size[0]) if n else 0):
             active = longer
             longer = int(np.searchsorted(-size, -(j + 1), side="left"))
-            node = self.go[node[:active], data[start[:active] + j]]
-            for lo, hi, ending, shorter in ((0, longer, self.inner_end, self.inner_shorter), (longer, active, self.final_end, self.final_shorter)):
+            node = self.spelling.step(node[:active], data[start[:active] + j])
+            for kind, lo, hi in ((0, 0, longer), (1, longer, active)):
                 if lo == hi:
                     continue
-                token = ending[node[lo:hi]]
+                shorter = self.spelling.shorter[kind]
+                token = self.spelling.ends[kind][node[lo:hi]]
                 here = base[lo:hi] + (j + 1)
                 before = here - self.length[token]
                 wrong = np.flatnonzero(~self.arc(last[before], token))
@@ -223,7 +253,7 @@ class MergeAutomaton:
 class Codec:
     """Whole texts: normalise, pre-split, encode distinct words by the tables, put ids together; and back."""
 
-    def __init__(self, path: str, arcs: np.ndarray | None = None):
+    def __init__(self, path: str, arcs: tuple[np.ndarray, np.ndarray] | None = None):
         self.auto = MergeAutomaton(path, arcs)
         vocab = self.auto.vocab
         self.special = vocab.special
@@ -305,16 +335,17 @@ class Codec:
 
 
 _codecs: dict[str, Codec] = {}
-_packed: dict[str, bytes] = {}
+_packed: dict[str, tuple[bytes, bytes]] = {}
 
 
-def codec(path: str, packed: bytes | None = None) -> Codec:
+def codec(path: str, packed: tuple[bytes, bytes] | None = None) -> Codec:
     """One codec for each file in a process; ``packed``: compressed arcs of the driver."""
     if path not in _codecs:
         arcs = None
         if packed is not None:
-            flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
-            arcs = flat.reshape(len(Vocabulary(path).labels), -1)
+            of, bits = (zstandard.ZstdDecompressor().decompress(p) for p in packed)
+            of = np.frombuffer(of, np.int32)
+            arcs = of, np.frombuffer(bits, np.uint8).reshape(int(of.max()) + 1, -1)
         _codecs[path] = Codec(path, arcs)
     return _codecs[path]
 
@@ -322,7 +353,8 @@ def codec(path: str, packed: bytes | None = None) -> Codec:
 def shipped(spark: SparkSession, path: str):
     """A broadcast of the compressed arcs of ``path``; compiled once in a driver."""
     if path not in _packed:
-        _packed[path] = zstandard.ZstdCompressor(level=3).compress(compile_arcs(Vocabulary(path)).tobytes())
+        small = zstandard.ZstdCompressor(level=3).compress
+        _packed[path] = tuple(small(part.tobytes()) for part in shared(compile_arcs(Vocabulary(path))))
     return spark.sparkContext.broadcast(_packed[path])
 
 
