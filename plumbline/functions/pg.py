@@ -211,11 +211,6 @@ def date_bin(seconds: int, ts: Column, origin: str = "2000-01-01") -> Column:
     return F.timestamp_seconds(bins * seconds + base)
 
 
-def age_months(later: Column, earlier: Column) -> Column:
-    """Whole months between two timestamps, towards zero."""
-    return F.months_between(later, earlier).cast("int")
-
-
 def at_time_zone(ts: Column, zone: str) -> Column:
     """A zone-less timestamp read in ``zone``, as UTC."""
     return F.to_utc_timestamp(ts, zone)
@@ -293,19 +288,6 @@ def range_intersect(a: Column, b: Column) -> Column:
     return F.struct(low.alias("lower"), high.alias("upper"), inc(low, "lower").alias("lower_inc"), inc(high, "upper").alias("upper_inc"), (~range_overlaps(a, b)).alias("empty"))
 
 
-def merge_ranges(ranges: Column) -> Column:
-    """Sorted disjoint union of an array of half-open struct(lower, upper)."""
-    first = F.array().cast("array<struct<lower:bigint,upper:bigint>>")
-
-    def add(acc, r):
-        last = F.try_element_at(acc, F.lit(-1))
-        joins = (F.size(acc) > 0) & (r["lower"] <= last["upper"])
-        grown = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["lower"].alias("lower"), F.greatest(last["upper"], r["upper"]).alias("upper"))))
-        return F.when(joins, grown).otherwise(F.concat(acc, F.array(F.struct(r["lower"].cast("long").alias("lower"), r["upper"].cast("long").alias("upper")))))
-
-    return F.aggregate(F.array_sort(ranges), first, add)
-
-
 # JSON held as text
 def json_get(j: Column, *path: str | int) -> Column:
     return F.get_json_object(j, "$" + "".join(f"[{p}]" if isinstance(p, int) else f"['{p}']" for p in path))
@@ -330,19 +312,6 @@ def is_json(j: Column) -> Column:
     return F.when(j.isNotNull(), F.try_parse_json(j).isNotNull())
 
 
-def json_set(j: Column, key: str, value: Column) -> Column:
-    """Top-level member of an object with scalar members, replaced or added."""
-    old = F.from_json(j, "map<string,string>")
-    kept = F.map_filter(old, lambda k, _: k != key)
-    return F.to_json(F.map_concat(kept, F.create_map(F.lit(key), value.cast("string"))))
-
-
-def json_contains(a: Column, b: Column) -> Column:
-    """Flat objects: every member of ``b`` stands in ``a`` with an equal value."""
-    ma, mb = F.map_entries(F.from_json(a, "map<string,string>")), F.map_entries(F.from_json(b, "map<string,string>"))
-    return F.size(F.array_except(mb, ma)) == 0
-
-
 # full text
 def lexemes(x: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(x), "[^\\p{L}\\p{N}]+"), lambda w: w != "")))

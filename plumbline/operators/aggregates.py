@@ -158,10 +158,27 @@ def g11_outer_level_columns(spark, sf_dir):
     return n.select("n_nationkey").join(hits, "n_nationkey", "left").select("n_nationkey", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def require_equality(df: DataFrame, keys: list[str]) -> None:
+    """Keys of DISTINCT, GROUP BY and set operations need an equality operator: maps and VARIANT have none."""
+    from pyspark.sql import types as T
+
+    def bad(kind) -> bool:
+        if isinstance(kind, (T.MapType, T.VariantType)):
+            return True
+        if isinstance(kind, T.ArrayType):
+            return bad(kind.elementType)
+        return isinstance(kind, T.StructType) and any(bad(f.dataType) for f in kind.fields)
+
+    wrong = [f.name for f in df.select(*keys).schema if bad(f.dataType)]
+    if wrong:
+        raise TypeError(f"no equality operator for {', '.join(wrong)}")
+
+
 def distinct_on(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """First row of each key in the given order."""
     from pyspark.sql import Window
 
+    require_equality(df, keys)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
@@ -185,17 +202,17 @@ def g_spread_counts(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT o_custkey AS k, o_orderkey // 10 AS lo, o_orderkey // 10 + 2 AS hi FROM orders),
+    """WITH r AS (SELECT DISTINCT o_custkey AS k, o_orderkey // 10 AS lo, o_orderkey // 10 + 2 AS hi FROM orders),
        s AS (SELECT k, lo, hi, max(hi) OVER (PARTITION BY k ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM r),
        g AS (SELECT k, lo, hi, sum(CASE WHEN prev IS NULL OR lo > prev THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM s)
        SELECT k, count(DISTINCT g) AS n_ranges FROM g GROUP BY k"""
 )
 def g_range_agg(spark, sf_dir):
-    from plumbline.functions.pg import merge_ranges
+    from plumbline.operators.moreops import range_agg
 
     low = F.floor(F.col("o_orderkey") / 10)
-    r = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_list(F.struct(low.alias("lower"), (low + 2).alias("upper"))).alias("r"))
-    return r.select("k", F.size(merge_ranges(F.col("r"))).cast("long").alias("n_ranges"))
+    merged = range_agg(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), low.alias("lo"), (low + 2).alias("hi")), ["k"], "lo", "hi")
+    return merged.groupBy("k").agg(F.count("*").alias("n_ranges"))
 
 
 @query("SELECT label, i, round(sum(v), 4) AS s, round(avg(v), 5) AS a FROM (SELECT label, unnest(generate_series(1, 4)) AS i, unnest(embedding[1:4]) AS v FROM embeddings) GROUP BY label, i")

@@ -31,9 +31,27 @@ class Image:
         return self.rows.where("action <> 'keep'").select(*cols)
 
 
-def insert(target: DataFrame, rows: DataFrame, defaults: dict[str, Column] | None = None) -> Image:
-    """Missing columns take their default or NULL."""
+@dataclass(frozen=True)
+class Identity:
+    """GENERATED ALWAYS or BY DEFAULT AS IDENTITY; numbers are unique from ``start`` on, with gaps between tasks."""
+
+    column: str
+    start: int
+    always: bool = True
+
+
+def insert(target: DataFrame, rows: DataFrame, defaults: dict[str, Column] | None = None, identity: Identity | None = None, overriding: str | None = None) -> Image:
+    """Missing columns take their default or NULL, an identity column its next number.
+
+    Values for a column generated always are an error unless ``overriding`` is ``system``;
+    with ``user`` they are ignored.
+    """
     given = rows
+    if identity:
+        if identity.column in given.columns and identity.always and overriding is None:
+            raise ValueError(f"{identity.column} is generated always")
+        if identity.column not in given.columns or overriding == "user":
+            given = given.withColumn(identity.column, F.lit(identity.start) + F.monotonically_increasing_id())
     for c, kind in target.dtypes:
         if c not in given.columns:
             given = given.withColumn(c, (defaults or {}).get(c, F.lit(None)).cast(kind))
@@ -52,7 +70,9 @@ def merge(
     not_matched_by_source: list[tuple[Column | None, dict[str, Column] | None]] = (),
     check: bool = True,
 ) -> Image:
-    """MERGE by one full outer join; the first arm whose condition holds acts.
+    """MERGE; the first arm whose condition holds acts.  Arms for target rows without a source row
+    take one full outer join; without them the target is joined from its side, so a source
+    that the planner finds small is broadcast and the target is not shuffled.
 
     Expressions read ``t.col`` and ``s.col``.  An arm is (condition, assignments); assignments of None
     delete.  A target row matched twice is an error, found by an aggregate over keys.
@@ -64,7 +84,12 @@ def merge(
     cond = F.lit(True)
     for c in on:
         cond = cond & (F.col(f"_t_{c}") == F.col(f"_s_{c}"))
-    both = t.join(s, cond, "full").select("t", "s")
+    if not_matched_by_source:
+        both = t.join(s, cond, "full").select("t", "s")
+    else:
+        met = t.join(s, cond, "left_semi").select(*[F.col(f"_t_{c}") for c in on]).distinct()
+        fresh = s.join(met, cond, "left_anti").select(F.lit(None).cast(target.schema.simpleString()).alias("t"), "s")
+        both = t.join(s, cond, "left").select("t", "s").unionByName(fresh)
     kinds = dict(target.dtypes)
     row_type = target.schema.simpleString()
 
@@ -91,10 +116,19 @@ def merge(
     return Image(both.select(F.col("t").alias("old"), new.alias("new"), action.alias("action")).where("old IS NOT NULL OR new IS NOT NULL"))
 
 
-def upsert(target: DataFrame, source: DataFrame, on: list[str], update: dict[str, Column] | None) -> Image:
-    """INSERT ... ON CONFLICT (on) DO UPDATE / DO NOTHING."""
+def upsert(target: DataFrame, source: DataFrame, on: list[str], update: dict[str, Column] | None, index_where: str | None = None) -> Image:
+    """INSERT ... ON CONFLICT (on) [WHERE index_where] DO UPDATE / DO NOTHING.
+
+    ``index_where``: the predicate of a partial unique index; rows outside it never conflict.
+    """
     values = {c: F.col(f"s.{c}") for c in source.columns}
-    return merge(target, source, on, [(None, update)] if update is not None else [], [(None, values)])
+    arms = [(None, update)] if update is not None else [], [(None, values)]
+    if index_where is None:
+        return merge(target, source, on, *arms)
+    inside = F.coalesce(F.expr(index_where), F.lit(False))
+    met = merge(target.where(inside), source.where(inside), on, *arms)
+    apart = insert(target.where(~inside), source.where(~inside))
+    return Image(met.rows.unionByName(apart.rows))
 
 
 def update(target: DataFrame, assign: dict[str, Column], where: Column | None = None) -> DataFrame:
@@ -187,3 +221,20 @@ def d6_returning(spark, sf_dir):
 def d10_constraint_validation(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
     return violations(n, ["n_name"], {"odd": F.col("n_nationkey") % 2 == 1}, ["n_nationkey"]).select("n_nationkey", "reason")
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT n_nationkey, 'AGAIN', 4 FROM nation WHERE n_regionkey = 1")
+def d2_partial_index(spark, sf_dir):
+    """ON CONFLICT (key) WHERE region < 3: the new rows, of region 4, are outside the index and conflict with nothing."""
+    nation = table(spark, sf_dir, "nation")
+    new = nation.where("n_regionkey = 1").selectExpr("n_nationkey", "'AGAIN' AS n_name", "4 AS n_regionkey")
+    return upsert(nation, new, ["n_nationkey"], {"n_name": F.lit("never")}, "n_regionkey < 3").table()
+
+
+@query("SELECT count(*) + 5 AS n, count(*) + 5 AS keys, sum(n_nationkey) + 0 AS old FROM nation")
+def d1_insert_identity(spark, sf_dir):
+    """GENERATED ALWAYS AS IDENTITY (START 1000), given values ignored by OVERRIDING USER VALUE."""
+    nation = table(spark, sf_dir, "nation").withColumn("n_nationkey", F.col("n_nationkey").cast("long"))
+    new = nation.where("n_regionkey = 1")
+    out = insert(nation, new, identity=Identity("n_nationkey", 1000), overriding="user").table()
+    return out.agg(F.count("*").alias("n"), F.count_distinct("n_nationkey").alias("keys"), F.sum(F.when(F.col("n_nationkey") < 1000, F.col("n_nationkey"))).alias("old"))

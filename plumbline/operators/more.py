@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import ext
-from plumbline.functions import pg
+from plumbline.functions import pg, text
 from plumbline.operators import dml
 from plumbline.operators.base import query, statement, table
 from plumbline.sources import tables as src
@@ -51,9 +51,14 @@ def u11_data_modifying_cte(spark, sf_dir):
     return ins.agg(F.count("*").alias("n"), F.sum("k").alias("s"))
 
 
-@query("SELECT 0 AS n")
+@query("SELECT 0 AS n, count(*) AS before, max(n_nationkey) + 1 AS after FROM nation")
 def d9_truncate(spark, sf_dir):
-    return dml.delete(table(spark, sf_dir, "region"), F.lit(True)).agg(F.count("*").cast("int").alias("n"))
+    """TRUNCATE gives the empty image of the same columns; the next insert starts from it."""
+    nation = table(spark, sf_dir, "nation")
+    empty = dml.delete(nation, F.lit(True))
+    again = dml.insert(empty, nation).table()
+    counts = empty.agg(F.count("*").cast("int").alias("n")).crossJoin(nation.agg(F.count("*").alias("before")))
+    return counts.crossJoin(again.agg((F.count("*").cast("int")).alias("after")))
 
 
 @query("SELECT s_suppkey, s_acctbal * 1.5 AS v FROM supplier")
@@ -95,10 +100,15 @@ def f_label_paths(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.replace(path, F.lit("."), F.lit(">")).alias("p"), ext.nlevel(path).alias("lvl"), ext.is_descendant(path, F.lit("1")).alias("below"))
 
 
-@query("SELECT n_nationkey, n_name AS v, true AS has, 'x' AS z FROM nation")
+@query("SELECT n_nationkey, n_name AS v, n_regionkey = 2 AS has, CASE WHEN n_nationkey % 3 = 0 THEN 'z' || n_nationkey ELSE 'old' END AS z, CASE WHEN n_regionkey = 2 THEN 2 ELSE 3 END - 1 AS n FROM nation")
 def f_key_value_maps(spark, sf_dir):
-    m = ext.map_concat(F.create_map(F.lit("name"), F.col("n_name"), F.lit("z"), F.lit("old")), F.create_map(F.lit("z"), F.lit("x")))
-    return table(spark, sf_dir, "nation").select("n_nationkey", m["name"].alias("v"), ext.map_has(m, "name").alias("has"), m["z"].alias("z"))
+    """hstore: concatenation (the right side wins), a key test, deletion of a key."""
+    k = F.col("n_nationkey")
+    right = F.when(k % 3 == 0, F.create_map(F.lit("z"), F.concat(F.lit("z"), k.cast("string")))).otherwise(F.create_map(F.lit("z"), F.lit("old")))
+    left = F.map_from_arrays(F.array(F.lit("name"), F.lit("z")), F.array(F.col("n_name"), F.lit("first")))
+    extra = F.when(F.col("n_regionkey") == 2, F.create_map(F.lit("r2"), F.lit("y"))).otherwise(F.create_map(F.lit("p"), F.lit("1"), F.lit("q"), F.lit("2")))
+    m = ext.map_concat(ext.map_concat(left, right), extra)
+    return table(spark, sf_dir, "nation").select("n_nationkey", m["name"].alias("v"), ext.map_has(m, "r2").alias("has"), m["z"].alias("z"), (F.size(ext.map_delete(m, "z")) - 1).alias("n"))
 
 
 @query("SELECT n_nationkey, round(2 * 6371000 * asin(sqrt(pow(sin(radians(n_nationkey - 5) / 2), 2) + cos(radians(5)) * cos(radians(n_nationkey)) * pow(sin(radians(n_regionkey) / 2), 2))), 0) AS d FROM nation")
@@ -119,9 +129,9 @@ def f_array_building(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", pg.subscript(built, 3).alias("a"), F.size(F.concat(built, F.array(r))).alias("n"), F.arrays_overlap(F.array(k, F.lit(7)), F.array(F.lit(7))).alias("o"))
 
 
-@query("SELECT p_partkey, CAST(least(p_size // 10, 4) + 1 AS BIGINT) AS b FROM part")
+@query("SELECT p_partkey, CAST(p_size // 10 + 1 AS BIGINT) AS b FROM part")
 def f_width_bucket(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.least(F.width_bucket(F.col("p_size").cast("double"), F.lit(0.0), F.lit(50.0), F.lit(5)), F.lit(5)).cast("long").alias("b"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.width_bucket(F.col("p_size"), 0, 50, 5).cast("long").alias("b"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') IS NOT NULL AS e, CAST(coalesce(json_extract_string(props, '$.none'), 'dflt') AS VARCHAR) AS v FROM events")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import pg
+from plumbline.functions import ext, jsonb, pg, text
 from plumbline.functions.udf import create_function, create_table_function
 from plumbline.operators.base import query, sql, statement, table
 
@@ -96,15 +96,15 @@ def f_generate_series(spark, sf_dir):
     return d
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, list_contains(json_keys(props), 'k') AS has, 'object' AS t, CAST(json_extract_string(props, '$.k') AS BIGINT) + 0 AS again FROM events")
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k, list_contains(json_keys(props), 'k') AS has, CASE CAST(json_extract_string(props, '$.k') AS BIGINT) % 3 WHEN 0 THEN 'object' WHEN 1 THEN 'number' ELSE 'array' END AS t, CAST(json_extract_string(props, '$.k') AS BIGINT) + 0 AS again FROM events")
 def f_json(spark, sf_dir):
-    j = F.col("props")
+    j, k = F.col("props"), pg.json_get(F.col("props"), "k").cast("bigint")
     return table(spark, sf_dir, "events").select(
         "event_id",
         pg.json_get(j, "k").alias("k"),
         pg.json_has_key(j, "k").alias("has"),
-        pg.json_typeof(j).alias("t"),
-        pg.json_get(pg.json_set(j, "z", F.lit(1)), "k").cast("bigint").alias("again"),
+        pg.json_typeof(F.when(k % 3 == 0, j).when(k % 3 == 1, pg.json_get(j, "k")).otherwise(F.lit("[1]"))).alias("t"),
+        pg.json_get(jsonb.set_path(j, ["z"], F.lit("1")), "k").cast("bigint").alias("again"),
     )
 
 
@@ -156,14 +156,13 @@ def f_table_function(spark, sf_dir):
 
 @query("SELECT c_nationkey, count(*) FILTER (WHERE c_mktsegment = 'BUILDING') AS \"BUILDING\", count(*) FILTER (WHERE c_mktsegment = 'MACHINERY') AS \"MACHINERY\" FROM customer GROUP BY c_nationkey")
 def f_crosstab(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    out = c.groupBy("c_nationkey").pivot("c_mktsegment", ["BUILDING", "MACHINERY"]).count()
+    out = ext.crosstab(table(spark, sf_dir, "customer"), "c_nationkey", "c_mktsegment", ["BUILDING", "MACHINERY"], F.count(F.lit(1)))
     return out.select("c_nationkey", F.coalesce("BUILDING", F.lit(0)).alias("BUILDING"), F.coalesce("MACHINERY", F.lit(0)).alias("MACHINERY"))
 
 
 @query("SELECT n_nationkey, concat('<nation id=\"', n_nationkey, '\">', n_name, '</nation>') AS x FROM nation")
 def f_xml_element(spark, sf_dir):
-    body = F.concat(F.lit('<nation id="'), F.col("n_nationkey").cast("string"), F.lit('">'), F.col("n_name"), F.lit("</nation>"))
+    body = text.xml_element("nation", {"id": F.col("n_nationkey")}, text.xml_escape(F.col("n_name")))
     return table(spark, sf_dir, "nation").select("n_nationkey", body.alias("x"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import pg
+from plumbline.sources.tables import MaterializedView, explain, stored, tablesample
 from plumbline.operators.base import query, sql, statement, table
 
 statement("s1_from_list", "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey")
@@ -37,20 +40,12 @@ def inherited(parent: DataFrame, *children: DataFrame, only: bool = False) -> Da
     return out
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 200000")
+@query("SELECT o_orderstatus, count(*) AS n, sum(o_orderkey) AS s FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_totalprice > 200000 GROUP BY o_orderstatus")
 def s4_partitioned_scan(spark, sf_dir):
-    """Bounds of a partition act as constraints on it; a filter on the key skips the others."""
-    orders = table(spark, sf_dir, "orders")
-    parts = {"F": orders.where("o_orderstatus = 'F'"), "O": orders.where("o_orderstatus = 'O'"), "P": orders.where("o_orderstatus = 'P'")}
-    return partition_scan(parts, keep=lambda bound: bound == "F").where("o_totalprice > 200000").select("o_orderkey")
-
-
-def partition_scan(parts: dict, keep=lambda bound: True) -> DataFrame:
-    chosen = [df for bound, df in parts.items() if keep(bound)]
-    out = chosen[0]
-    for df in chosen[1:]:
-        out = out.unionByName(df)
-    return out
+    """A table stored by a key: a filter on the key reads the folders of its values alone."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    kept = stored(orders, "partitioned", ["o_orderstatus"]).where("o_orderstatus IN ('F', 'P') AND o_totalprice > 200000")
+    return kept.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
 
 
 @query("SELECT conv_id, len(a) AS n, a[1] AS a1, b[1] AS b1 FROM (SELECT conv_id, list(role ORDER BY turn) AS a, list(turn ORDER BY turn) AS b FROM conversations GROUP BY conv_id)")
@@ -76,7 +71,14 @@ def s11_column_definition_list(spark, sf_dir):
 @query()
 def s12_tablesample(spark, sf_dir):
     """BERNOULLI (10) REPEATABLE (7): which rows come is the sampler's choice, so no SQL is given."""
-    return table(spark, sf_dir, "orders").sample(fraction=0.1, seed=7).select("o_orderkey")
+    return tablesample(table(spark, sf_dir, "orders"), "bernoulli", 10, seed=7).select("o_orderkey")
+
+
+@query("SELECT 100 AS n, true AS apart FROM (SELECT 1)")
+def s12_system_rows(spark, sf_dir):
+    """system_rows (100): so many rows, each once."""
+    got = tablesample(table(spark, sf_dir, "orders"), "system_rows", 100)
+    return got.agg(F.count("*").alias("n"), (F.count("*") == F.count_distinct("o_orderkey")).alias("apart"))
 
 
 @query("SELECT n AS id, n * 10 AS v, i AS nr FROM (SELECT unnest([3, 4, 5]) AS n, unnest([1, 2, 3]) AS i)")
@@ -92,10 +94,39 @@ def json_table(df: DataFrame, col: str, path: str, columns: str, ordinality: str
     return rows.select(*df.columns, (F.col("_p") + 1).alias(ordinality), "_s.*")
 
 
-@query("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0")
+_LOCK = re.compile(r"\bFOR\s+(?:NO\s+KEY\s+UPDATE|KEY\s+SHARE|UPDATE|SHARE)(?:\s+OF\s+\w+(?:\s*,\s*\w+)*)?(?:\s+NOWAIT|\s+SKIP\s+LOCKED)?", re.I)
+_QUOTED = re.compile(r"('(?:[^']|'')*'|--[^\n]*|/\*.*?\*/)", re.S)
+
+
+def without_locks(text: str) -> str:
+    """The statement without its row-locking clauses: rows of a snapshot need no locks."""
+    return "".join(p if i % 2 else _LOCK.sub("", p) for i, p in enumerate(_QUOTED.split(text)))
+
+
+@query("SELECT s_suppkey, s_name || ' FOR UPDATE' AS s FROM supplier WHERE s_acctbal > 0")
 def s14_row_locking(spark, sf_dir):
-    """FOR UPDATE / SHARE: snapshots need no row locks here, so the clause changes nothing."""
-    return sql(spark, sf_dir, "SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0")
+    """FOR UPDATE OF ... SKIP LOCKED in a statement and in its subquery."""
+    text = "SELECT s_suppkey, s || ' FOR UPDATE' AS s FROM (SELECT s_suppkey, s_name AS s, s_acctbal FROM supplier FOR NO KEY UPDATE) q WHERE s_acctbal > 0 FOR UPDATE OF q, r SKIP LOCKED FOR SHARE NOWAIT"
+    return sql(spark, sf_dir, without_locks(text))
+
+
+@query("SELECT count(*) > 0 AS scans, true AS pushed, 2 AS columns FROM orders")
+def s23_explain(spark, sf_dir):
+    """EXPLAIN as rows: the scan, the filter that reaches it and the columns it reads."""
+    df = sql(spark, sf_dir, "SELECT o_orderkey FROM orders WHERE o_totalprice > 300000")
+    plan = explain(df)
+    has = lambda p: F.count_if(F.col("plan").rlike(p)) > 0
+    read = F.max(F.when(F.col("plan").startswith("ReadSchema"), F.size(F.split("plan", ","))))
+    return plan.agg(has("Scan parquet").alias("scans"), has("PushedFilters.*GreaterThan\\(o_totalprice").alias("pushed"), read.cast("long").alias("columns"))
+
+
+@query("SELECT n_regionkey, 2 * n AS n FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey)")
+def s18_refresh_materialized_view(spark, sf_dir):
+    """REFRESH replaces the stored image by what the source holds by then."""
+    source = [table(spark, sf_dir, "nation")]
+    view = MaterializedView(spark, "regions", lambda: source[0].groupBy("n_regionkey").agg(F.count("*").alias("n")))
+    source[0] = source[0].unionByName(source[0])
+    return view.refresh()
 
 
 @query("SELECT k, sum(v) AS s FROM (VALUES (1, 2.5), (1, 3.5), (2, 1.0)) AS t(k, v) GROUP BY k")

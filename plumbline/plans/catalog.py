@@ -28,6 +28,8 @@ class Table:
     keys: list[tuple[str, ...]] = field(default_factory=list)
     foreign: list[ForeignKey] = field(default_factory=list)
     checks: dict[str, Callable[[], Column]] = field(default_factory=dict)
+    indexes: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    identity: frozenset[str] = frozenset()
 
 
 class Catalog:

@@ -2,9 +2,12 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import pg
+from plumbline.functions import jsonb as J
+from plumbline.functions import pg, text
+from plumbline.operators.moreops import range_agg
 
 
 def value(spark, column):
@@ -55,7 +58,9 @@ def test_dates(spark):
     point = value(spark, pg.overlaps(lit("2020-01-01"), lit("2020-01-01"), lit("2020-01-01"), lit("2020-01-02")))
     apart = value(spark, pg.overlaps(lit("2020-01-01"), lit("2020-01-02"), lit("2020-01-02"), lit("2020-01-03")))
     assert point is True and apart is False
-    assert value(spark, pg.age_months(lit("2020-03-31"), lit("2020-01-31"))) == 2
+    age = lambda a, b: tuple(value(spark, text.age(F.lit(a).cast("timestamp_ntz"), F.lit(b).cast("timestamp_ntz"))))
+    assert age("2020-03-31", "2020-01-31") == (0, 2, 0, 0.0) and age("2001-04-10", "1957-06-13") == (43, 9, 28, 0.0)
+    assert age("2020-01-31", "2020-03-31 12:00:00") == (0, -2, 0, -43200.0)
 
 
 def test_arrays(spark):
@@ -80,16 +85,79 @@ def test_ranges(spark):
     assert value(spark, r(3, 3))["empty"] is True
     both = value(spark, pg.range_intersect(r(1, 5), r(3, 9)))
     assert (both["lower"], both["upper"], both["empty"]) == (3, 5, False)
-    merged = value(spark, pg.merge_ranges(F.array(F.struct(F.lit(5).alias("lower"), F.lit(8).alias("upper")), F.struct(F.lit(1).alias("lower"), F.lit(3).alias("upper")), F.struct(F.lit(2).alias("lower"), F.lit(4).alias("upper")))))
-    assert [(m["lower"], m["upper"]) for m in merged] == [(1, 4), (5, 8)]
+    rows = spark.createDataFrame([("a", 5, 8), ("a", 1, 3), ("a", 2, 4), ("a", 2, 4), ("a", 9, 9), ("b", 1, 2), ("b", 2, 3)], "k string, lo int, hi int")
+    assert sorted(map(tuple, range_agg(rows, ["k"], "lo", "hi").collect())) == [("a", 1, 4), ("a", 5, 8), ("b", 1, 3)]
 
 
 def test_json(spark):
     j = F.lit('{"a": 1, "b": "x"}')
     assert value(spark, pg.json_typeof(F.lit("[1]"))) == "array" and value(spark, pg.json_typeof(F.lit("1.5"))) == "number"
     assert value(spark, pg.is_json(F.lit("{"))) is False and value(spark, pg.is_json(F.lit(None).cast("string"))) is None
-    assert value(spark, pg.json_contains(j, F.lit('{"b": "x"}'))) is True
-    assert value(spark, pg.json_get(pg.json_set(j, "a", F.lit(7)), "a")) == "7"
+    assert value(spark, J.contains(j, '{"b": "x"}')) is True and value(spark, J.contains(j, '{"a": "1"}')) is False
+    deep = F.lit('{"a": {"b": [1, {"c": null}]}, "n": "1"}')
+    for want, is_in in (('{"a": {"b": [{"c": null}]}}', True), ('{"a": {"b": [2]}}', False), ('{"a": {"b": 1}}', False), ("{}", True), ('{"n": 1}', False)):
+        assert value(spark, J.contains(deep, want)) is is_in is value(spark, J.contains_column(deep, F.lit(want))), want
+    assert value(spark, J.contains(F.lit("[1, 2]"), "1")) is True and value(spark, J.contains(F.lit("[1, [2]]"), "[2]")) is False
+    assert value(spark, J.contains(F.lit("{bad"), "1")) is None and value(spark, J.contains(F.lit(None).cast("string"), "1")) is None
+
+
+def test_json_editing(spark):
+    doc = F.lit('{"a": {"b": [1, 2]}, "n": 1.50, "t": true}')
+    assert value(spark, J.set_path(doc, ["a", "b", "-1"], F.lit('{"x": null}'))) == '{"a":{"b":[1,{"x":null}]},"n":1.5,"t":true}'
+    assert value(spark, J.set_path(doc, ["z"], F.lit("3"), create=False)) == '{"a":{"b":[1,2]},"n":1.5,"t":true}'
+    assert value(spark, J.set_path(doc, ["n", "q"], F.lit("3"))) == '{"a":{"b":[1,2]},"n":1.5,"t":true}'
+    assert value(spark, J.insert_path(doc, ["a", "b", "0"], F.lit("9"))) == '{"a":{"b":[9,1,2]},"n":1.5,"t":true}'
+    assert value(spark, J.delete_path(doc, ["a", "b", "7"])) == '{"a":{"b":[1,2]},"n":1.5,"t":true}'
+    assert value(spark, J.concat(F.lit("[1]"), F.lit('"x"'))) == '[1,"x"]' and value(spark, J.strip_nulls(F.lit('{"a":null,"b":[null]}'))) == '{"b":[null]}'
+
+
+def test_json_paths(spark):
+    doc = F.lit('{"a": [{"x": 1, "y": "p"}, {"x": 5}], "b": {"k": 2}}')
+    got = lambda p: value(spark, F.transform(J.path_items(doc, p), lambda v: F.to_json(v)))
+    assert got("$.a.x") == ["1", "5"] and got("$.a[1].x") == ["5"] and got("$.b.*") == ["2"] and got("$.nope") == []
+    assert got('$.a[*] ? (@.x > 2 || @.y == "p").x') == ["1", "5"] and got("$.a[*] ? (!(@.x > 2)).x") == ["1"]
+    assert got("$.a ? (exists(@.y)).x") == ["1"] and got("$.a.size()") == ["2"] and got("$.b.type()") == ['"object"']
+    assert value(spark, J.path_match(doc, "$.b.k == 2 && $.a.x > 4")) is True
+    for wrong in ("$.", "$.a[", "$.a ? (@.x > )", "$ x", "$.a ? (@.x > true)"):
+        with pytest.raises(ValueError):
+            J.path_items(doc, wrong)
+
+
+def test_json_aggregates(spark):
+    df = spark.createDataFrame([("a", 1), ("a", None), ('q"', 3)], "k string, v int")
+    one = lambda c: df.agg(c.alias("x")).first()["x"]
+    assert one(J.object_agg(F.col("k"), F.col("v"), F.col("v"))) == '{"a":null,"a":1,"q\\"":3}'
+    assert one(J.object_agg(F.col("k"), F.col("v"), F.col("v"), absent_on_null=True)) == '{"a":1,"q\\"":3}'
+    with pytest.raises(Exception, match="repeats"):
+        one(J.object_agg(F.col("k"), F.col("v"), unique=True))
+    assert one(J.array_agg(F.col("v"))) == "[1,3]" and df.where("v > 9").agg(J.array_agg(F.col("v")).alias("x")).first()["x"] == "[]"
+
+
+def test_formats(spark):
+    n = F.lit("it's")
+    assert value(spark, text.format_text("%s-%2$L-%%-%1$s", n, n)) == "it's-'it''s'-%-it's"
+    assert value(spark, text.format_text("[%5s|%-3s|%I]", F.lit("x"), F.lit("y"), F.lit("A b"))) == '[    x|y  |"A b"]'
+    with pytest.raises(ValueError):
+        text.format_text("%s %s", n)
+    with pytest.raises(ValueError):
+        text.format_text("%d", n)
+    assert value(spark, text.like(F.lit("a%b\nc"), "a!%b_c", "!")) is True and value(spark, text.like(F.lit("axb"), "a!%b", "!")) is False
+    assert value(spark, text.regexp_match(F.lit("foobar"), "o(b)(a)")) == ["b", "a"] and value(spark, text.regexp_match(F.lit("x"), "y")) is None
+    assert value(spark, text.concat_ws(F.lit(","), F.lit(None), F.lit("a"), F.lit(""))) == "a," and value(spark, text.concat_ws(F.lit(None).cast("string"), F.lit("a"))) is None
+    assert value(spark, text.initcap(F.lit("hELLO-wORLD it's"))) == "Hello-World It'S"
+    assert value(spark, text.xml_forest(a=F.lit("<&>"), b=F.lit(None))) == "<a>&lt;&amp;&gt;</a>"
+    assert [value(spark, text.width_bucket(F.lit(x), 0, 10, 5)) for x in (-1.0, 0.0, 9.9, 10.0)] == [0, 1, 5, 6]
+    assert value(spark, text.assign(F.array(F.lit(1)), 3, F.lit(9))) == [1, None, 9]
+
+
+def test_text_queries(spark):
+    doc = F.lit("The quick brown fox, the lazy dog")
+    for q, want in (("quick & dog", True), ("quick & cat", False), ("cat | fox", True), ("!cat & fox", True), ("brown <-> fox", True), ("quick <-> fox", False), ("quick <2> fox", True), ("la:*", True), ("!(cat | fox)", False)):
+        assert value(spark, text.text_matches(doc, q)) is want, q
+    assert value(spark, text.text_matches(F.lit(None).cast("string"), "a")) is False
+    for wrong in ("a &", "(a", "a b", ""):
+        with pytest.raises(ValueError):
+            text.text_matches(doc, wrong)
 
 
 def test_vectors(spark):

@@ -8,7 +8,7 @@ from conftest import SF
 
 from plumbline.operators.base import table
 from plumbline.plans import demo
-from plumbline.plans.catalog import STAR, Catalog, Table
+from plumbline.plans.catalog import STAR, Catalog, ForeignKey, Table
 from plumbline.plans.describe import describe, diff, parameters
 from plumbline.plans.ir import CountTest, Exists, Frames, Join, NotIn, Select, Sub, Union, build
 from plumbline.plans.fromsql import query, run_sql
@@ -159,3 +159,9 @@ def test_never_null_goes_by_identity(spark):
 
 
 LOOSE = Catalog(Table("loose", {"x": "int", "c": "int"}))
+
+
+def test_index_rules():
+    t = Table("t", {"a": "bigserial", "b": "varchar(9)", "c": "bigint"}, keys=[("a",)], foreign=[ForeignKey(("c",), "t", ("a",))], indexes={"i": ("b",), "j": ("b", "a"), "k": ("a",)})
+    rules = sorted(f.rule for f in lint_catalog(Catalog(t)))
+    assert rules == ["fk_type_mismatch", "fk_without_index", "prefer_identity", "prefer_text", "redundant_index", "redundant_index"]

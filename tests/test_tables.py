@@ -113,3 +113,92 @@ def test_formats(spark, tmp_path, fmt):
 def test_array_agg_over_nothing(spark):
     got = spark.range(0).agg(aggregates.array_agg(F.col("id")).alias("a")).first()["a"]
     assert got is None
+
+
+def test_recursion_goes_on_or_fails(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "src int, dst int")
+    start = spark.createDataFrame([(0,)], "node int")
+    assert sets.closure(start, edges).count() == 41 and sets.paths(start, edges).count() == 41
+    for stopped in (lambda: sets.closure(start, edges, 3), lambda: sets.paths(start, edges, 3)):
+        with pytest.raises(RuntimeError):
+            stopped()
+    ring = spark.createDataFrame([(0, 1), (1, 0), (1, 2)], "src int, dst int")
+    got = {tuple(r["path"]): r["is_cycle"] for r in sets.paths(start, ring).collect()}
+    assert got == {(0,): False, (0, 1): False, (0, 1, 0): True, (0, 1, 2): False}
+
+
+def test_copy_in_stores_batches_or_nothing(spark):
+    pulled = []
+    rows = ((pulled.append(i) or i, str(i)) for i in range(25))
+    assert src.copy_in(spark, rows, "a int, b string", batch=10).count() == 25
+    assert src.copy_in(spark, [], "a int").count() == 0
+    with pytest.raises(Exception):
+        src.copy_in(spark, [(1,), ("x",)], "a int", batch=1)
+
+
+def test_partitioned_scan_prunes(spark):
+    df = src.stored(spark.range(100).selectExpr("id", "id % 4 AS k"), "parts", ["k"])
+    plan = "\n".join(r["plan"] for r in src.explain(df.where("k = 2")).collect())
+    assert "PartitionFilters: [isnotnull(k" in plan and df.where("k = 2").count() == 25
+    assert len(df.where("k = 2").inputFiles()) <= len(df.inputFiles()) and '"class"' in src.explain_json(df)
+
+
+def test_samples(spark):
+    df = spark.range(20_000)
+    a, b = (src.tablesample(df, "bernoulli", 10, seed=5) for _ in range(2))
+    assert 1700 < a.count() < 2300 and a.exceptAll(b).isEmpty()
+    files = src.stored(df.repartition(40), "sample")
+    kept = src.tablesample(files, "system", 50, seed=3)
+    n = kept.select(F.input_file_name().alias("f")).distinct().count()
+    assert 8 <= n <= 32 and kept.count() == src.tablesample(files, "system", 50, seed=3).count() and src.tablesample(files, "system", 100, seed=3).count() == 20_000
+    assert src.tablesample(df, "system_rows", 7).count() == 7
+    with pytest.raises(ValueError):
+        src.tablesample(df, "system_time", 10)
+
+
+def test_refreshed_view_keeps_the_earlier_image(spark):
+    rows = [spark.range(3)]
+    view = src.MaterializedView(spark, "v", lambda: rows[0])
+    before = view.read()
+    rows[0] = spark.range(5)
+    assert view.read().count() == 3 and view.refresh().count() == 5 and before.count() == 3
+    view.drop_old()
+    with pytest.raises(ValueError):
+        src.MaterializedView(spark, "w", lambda: rows[0], with_data=False).read()
+
+
+def test_identity_and_partial_index(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    new = spark.createDataFrame([(7, "c")], "k long, v string")
+    always = dml.Identity("k", 100)
+    with pytest.raises(ValueError):
+        dml.insert(t, new, identity=always)
+    assert {r["k"] for r in dml.insert(t, new, identity=always, overriding="system").table().collect()} == {1, 2, 7}
+    assert min(r["k"] for r in dml.insert(t, new.drop("k"), identity=always).table().where("v = 'c'").collect()) >= 100
+    s = spark.createDataFrame([(1, "x"), (2, "y")], "k long, v string")
+    got = dml.upsert(t, s, ["k"], {"v": F.lit("met")}, "k = 1").table()
+    assert sorted(map(tuple, got.collect())) == [(1, "met"), (2, "b"), (2, "y")]
+
+
+def test_small_source_does_not_shuffle_the_target(spark):
+    t = src.stored(spark.range(1000).selectExpr("id AS k", "'a' AS v"), "target")
+    s = src.stored(spark.createDataFrame([(1, "x"), (5000, "y")], "k long, v string"), "source")
+    image = dml.upsert(t, s, ["k"], {"v": F.col("s.v")})
+    assert image.table().count() == 1001 and sorted(r["action"] for r in image.returning("action").collect()) == ["insert", "update"]
+    plan = image.rows._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_keys_need_equality(spark):
+    df = spark.sql("SELECT map('a', 1) AS m, array(1) AS a, struct(map(1, 2) AS x) AS s")
+    aggregates.require_equality(df, ["a"])
+    for c in ("m", "s"):
+        with pytest.raises(TypeError):
+            aggregates.require_equality(df, [c])
+
+
+def test_locking_clauses():
+    from plumbline.operators.scans import without_locks
+
+    assert without_locks("SELECT 'FOR UPDATE' FROM t FOR UPDATE OF t SKIP LOCKED").strip() == "SELECT 'FOR UPDATE' FROM t"
+    assert without_locks("SELECT a FROM t -- FOR SHARE").strip() == "SELECT a FROM t -- FOR SHARE"
