@@ -39,3 +39,19 @@ def _add(name: str, text: str, rewrite: bool) -> None:
 for _name, (_, _sql) in CASES.items():
     _add(f"n_{_name}_rewritten", _sql, True)
     _add(f"n_{_name}_as_written", _sql, False)
+
+
+_REFUTED = "SELECT p_partkey AS k, p_size AS n FROM part WHERE p_size < 0 OR (p_size BETWEEN -9 AND 0 AND p_brand <> 'x')"
+_OPEN = "SELECT p_partkey AS k, p_size AS n FROM part WHERE p_size < 3 OR (p_size > 45 AND p_size < 0)"
+
+
+def _refuted(spark, sf_dir):
+    """A condition that a CHECK refutes reads nothing; one that it leaves open is run."""
+    tables = {"part": table(spark, sf_dir, "part")}
+    (none, proved), (some, kept) = (run_sql(spark, text, STAR, tables) for text in (_REFUTED, _OPEN))
+    if proved != ["refuted"] or kept:
+        raise AssertionError("one of the conditions is refuted, the other is not")
+    return none.unionAll(some)
+
+
+QUERIES["n5_refuted_by_check"], ORACLES["n5_refuted_by_check"] = _refuted, f"{_REFUTED} UNION ALL {_OPEN}"

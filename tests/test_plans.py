@@ -165,3 +165,11 @@ def test_index_rules():
     t = Table("t", {"a": "bigserial", "b": "varchar(9)", "c": "bigint"}, keys=[("a",)], foreign=[ForeignKey(("c",), "t", ("a",))], indexes={"i": ("b",), "j": ("b", "a"), "k": ("a",)})
     rules = sorted(f.rule for f in lint_catalog(Catalog(t)))
     assert rules == ["fk_type_mismatch", "fk_without_index", "prefer_identity", "prefer_text", "redundant_index", "redundant_index"]
+
+
+def test_refuted_scan_reads_nothing(spark):
+    tables = {t: table(spark, SF, t) for t in STAR.tables}
+    out, used = run_sql(spark, "SELECT p_partkey FROM part p WHERE p.p_size = -4", STAR, tables)
+    assert used == ["refuted"] and "LocalTableScan" in out._jdf.queryExecution().executedPlan().toString() and out.count() == 0
+    for text in ("SELECT p_partkey FROM part WHERE p_size IS NULL", "SELECT count(*) AS n FROM part WHERE p_size < 0", "SELECT p_partkey FROM part WHERE p_retailprice < 0"):
+        assert "refuted" not in run_sql(spark, text, STAR, tables)[1]
