@@ -14,7 +14,7 @@ cells before, so no task ranks an arc or a hot key row by row.
 
 With ``virtual`` nodes a shard, going from 16 to 17 shards moves 6.5 % of 200,000 random
 keys (5.9 % is the share of the new shard) and 0.6 % between old shards; with 64 nodes
-it would be 9.3 % and 3.4 % (``tests/llm`` holds the bounds).
+it would be 8.4 % and 2.5 % (``tests/llm`` holds the bounds).
 """
 
 from __future__ import annotations
