@@ -278,7 +278,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 12_000, handed
 
         schema = "list string, sure double, uid long, x binary, codes binary, meta binary"
         lists = feats.mapInArrow(propose, schema).mapInArrow(_top(handed), schema)
-        lists = lists.repartition(tasks).mapInArrow(_top(handed), schema).coalesce(1).mapInArrow(_top(handed), schema)
+        lists = lists.repartition(tasks).mapInArrow(_top(handed), schema).repartition(1).mapInArrow(_top(handed), schema)
         out: dict[tuple[str, str], list] = {}
         for r in lists.collect():
             out.setdefault(tuple(r["list"].split(" ")), []).append(r)
