@@ -4,9 +4,10 @@ The text view reads what a text is made of: shares of kinds of characters and wo
 whole text, and the log-odds of its words, hashed to ``BUCKETS``.  The metadata view reads
 the language and the source only; nothing of it follows from the text.  Both start from
 labelled rows.  In each round each view scores all unlabelled rows and hands the other those
-that it is surest of, of either class, as labels with its calibrated probability; a view
-that knows little hands over labels near the prior, which do no harm.  The calibrated views are
-then combined by a logistic regression on labelled rows that trained neither.
+that it is surest of, of either class, as labels with its calibrated probability, weighted by how
+far that is from the prior; a view that knows little hands over labels that weigh next to
+nothing.  The calibrated views are then combined by a logistic regression on labelled
+rows that trained neither.
 
 Features are written once, about a third of the texts' size, and every round reads them
 alone.  Labelled rows are a bounded sample (``max_labelled``); the rows handed over are
@@ -105,27 +106,34 @@ class Rows:
 
 
 class TextView:
-    """Shares and word log-odds; the words' table and the weights come from different rows."""
+    """Shares and word log-odds.  The weights are fitted on all rows, each with the log-odds that
+    the other half of the rows gives its words, so that no row vouches for itself."""
 
     def fit(self, rows: Rows, y: np.ndarray, weight: np.ndarray) -> TextView:
-        first = np.arange(len(rows)) % 2 == 0
-        use = first[rows.owner]
-        codes, own = rows.codes[use], rows.owner[use]
-        good, bad = (np.bincount(codes, (weight * v)[own], BUCKETS) for v in (y, 1 - y))
-        n_good, n_bad = (float((weight * v)[first].sum()) for v in (y, 1 - y))
-        self.odds = np.log((good + 1) / (n_good + 2)) - np.log((bad + 1) / (n_bad + 2))
-        self.bias, self.coef = Logit().fit(self._inputs(rows)[~first], y[~first], weight[~first]).plain
+        half = np.arange(len(rows)) % 2
+        inputs = np.zeros((len(rows), rows.x.shape[1] + 2))
+        for k in (0, 1):
+            inputs[half == k] = self._inputs(rows, self._odds(rows, y, weight * (half != k)))[half == k]
+        self.bias, self.coef = Logit().fit(inputs, y, weight).plain
+        self.odds = self._odds(rows, y, weight)
         return self
 
-    def _inputs(self, rows: Rows) -> np.ndarray:
+    @staticmethod
+    def _odds(rows: Rows, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        good, bad = (np.bincount(rows.codes, (weight * v)[rows.owner], BUCKETS) for v in (y, 1 - y))
+        n_good, n_bad = (float((weight * v).sum()) for v in (y, 1 - y))
+        return np.log((good + 1) / (n_good + 2)) - np.log((bad + 1) / (n_bad + 2))
+
+    @staticmethod
+    def _inputs(rows: Rows, odds: np.ndarray) -> np.ndarray:
         n = np.maximum(1, np.bincount(rows.owner, minlength=len(rows)))
-        value = self.odds[rows.codes]
+        value = odds[rows.codes]
         mean = np.bincount(rows.owner, value, len(rows)) / n
         worst = np.bincount(rows.owner, np.minimum(value, 0), len(rows)) / n
         return np.column_stack([rows.x, mean, worst])
 
     def decision(self, rows: Rows) -> np.ndarray:
-        return np.clip(self.bias + self._inputs(rows) @ self.coef, -8, 8)
+        return np.clip(self.bias + self._inputs(rows, self.odds) @ self.coef, -8, 8)
 
 
 class MetaView:
@@ -145,6 +153,15 @@ def _prob(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Intercept and slope from a view's decisions to probabilities; a view that ranks no better
+    than chance gets the prior for every row."""
+    bias, slope = Logit(0.1).fit(z[:, None], y).plain
+    if slope[0] <= 0:
+        return math.log(y.mean() / (1 - y.mean())), np.zeros(1)
+    return bias, slope
+
+
 @dataclass
 class Model:
     """Both views with their calibrations, and the weights that combine them; ``prior`` alone where
@@ -182,10 +199,11 @@ def fit(rows: Rows, y: np.ndarray, surest: Surest, rounds: int = 3) -> Model:
     kept = rows.pick(np.flatnonzero(held))
     start = rows.pick(np.flatnonzero(~held)), y[~held].astype(float), np.ones(int((~held).sum()))
     taught = {"text": start, "meta": start}
+    prior = float(y[held].mean())
     log = []
     for turn in range(rounds + 1):
         views = TextView().fit(*taught["text"]), MetaView().fit(*taught["meta"])
-        scales = tuple(Logit(0.1).fit(v.decision(kept)[:, None], y[held]).plain for v in views)
+        scales = tuple(_calibrated(v.decision(kept), y[held]) for v in views)
         model = Model(model.prior, *views, scales, None, tuple(log))
         if turn == rounds:
             break
@@ -197,7 +215,8 @@ def fit(rows: Rows, y: np.ndarray, surest: Surest, rounds: int = 3) -> Model:
             taker = "meta" if giver == "text" else "text"
             p = model.views(got)[0 if giver == "text" else 1]
             old, labels, weight = taught[taker]
-            taught[taker] = old.plus(got), np.concatenate([labels, p]), np.concatenate([weight, np.abs(2 * p - 1)])
+            told = np.where(p > prior, (p - prior) / (1 - prior), (prior - p) / prior)
+            taught[taker] = old.plus(got), np.concatenate([labels, p]), np.concatenate([weight, told])
             moved[f"{giver}_to_{taker}"] += len(got)
         log.append(moved)
     z = np.column_stack([v.decision(kept) for v in views])
