@@ -11,8 +11,9 @@
     threshold join classes into families (spanning edges only, never all pairs).
 4.  Families hold every candidate pair, and links are confirmed inside them on full
     sets: a family of bounded work is compared exhaustively in one task; a larger one
-    goes through rounds of hubs (``_hub_round``), each compared with all members in
-    parallel, until what may still be linked is bounded.
+    goes through ``ROUNDS`` rounds of hubs (``_hub_round``), each compared with all members
+    in parallel, which link most members into one cluster.  Every pair of different
+    clusters that may still be linked is then compared once, in blocks (``_crossed``).
 
 Recall at the threshold t: for a pair that agrees on a share p of the coordinates a level
 keeps it with about 1 - (1 - pq)(1 - p(1/t - 1)q) where q is the rate of the level below.
@@ -28,6 +29,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,10 @@ from plumbline.llm.components import components
 from plumbline.llm.shared import mix64, partitions, staged, text_batches, word_spans
 
 COORDS = 64
-#: Hubs of a family and round double from the first round on, up to so many (each task holds them).
-MOST_HUBS = 256
+#: Rounds of hubs for a large family; their number doubles from round to round.
+ROUNDS = 3
+#: A task of a large family reads about so many members, or so many shingles, and in blocks holds so many shingles.
+CHUNK_ROWS, CHUNK_ITEMS, BLOCK_ITEMS = 4000, 2_000_000, 500_000
 _rng = np.random.default_rng(20)
 _MULT = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64)
@@ -218,30 +222,43 @@ def _with_text(members: DataFrame, docs: DataFrame) -> DataFrame:
     return members.hint("merge").join(docs, members["cid"] == docs["doc_id"]).drop("doc_id")
 
 
+def _chunks(rows: DataFrame) -> DataFrame:
+    """``rows`` with the number of tasks that read the members of their family."""
+    count = F.ceil(F.greatest(F.count("*") / CHUNK_ROWS, F.sum("n") / CHUNK_ITEMS)).cast("int").alias("chunks")
+    return rows.join(rows.groupBy("fam").agg(count), "fam")
+
+
+def _dealt(held: DataFrame, read: DataFrame, by: list[str]) -> DataFrame:
+    """Both sides by the task that compares them, what is held ahead of what is read."""
+    both = held.withColumn("side", F.lit(0)).unionByName(read.withColumn("side", F.lit(1)))
+    return both.repartition(partitions(both.sparkSession), *by).sortWithinPartitions(*by, "side", "key")
+
+
 def _distances(width: int):
-    """1 - Jaccard similarity (in whole set counts: common and size) of a member to each hub of its family."""
+    """Common shingles and size of each hub of its family for a member; hubs stand before the members of a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fam, hubs = None, []
+        at, hubs = None, []
         for batch in batches:
-            out = {k: [] for k in ("fam", "key", "cid", "n", "common", "sizes", "hub_keys")}
-            for row in batch.to_pylist():
-                if row["fam"] != fam:
-                    fam, hubs = row["fam"], []
-                    for h in row["hubs"]:
-                        items = shingles(h["text"], width)
-                        if digest(items) == h["key"] and h["key"] not in [x[0] for x in hubs]:
-                            hubs.append((h["key"], items))
-                items = shingles(row["text"], width)
-                if digest(items) != row["key"]:
-                    continue
-                for k in ("fam", "key", "cid", "n"):
-                    out[k].append(row[k])
-                out["common"].append([len(np.intersect1d(items, h, assume_unique=True)) for _, h in hubs])
-                out["sizes"].append([len(h) for _, h in hubs])
-                out["hub_keys"].append([k for k, _ in hubs])
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
+            for first in range(0, batch.num_rows, 1024):
+                out = {k: [] for k in ("fam", "key", "cid", "n", "common", "sizes", "hub_keys")}
+                for row in batch.slice(first, 1024).to_pylist():
+                    if (row["fam"], row["chunk"]) != at:
+                        at, hubs = (row["fam"], row["chunk"]), []
+                    items = shingles(row["text"], width)
+                    if digest(items) != row["key"]:
+                        continue
+                    if row["side"] == 0:
+                        if row["key"] not in [k for k, _ in hubs]:
+                            hubs.append((row["key"], items))
+                        continue
+                    for k in ("fam", "key", "cid", "n"):
+                        out[k].append(row[k])
+                    out["common"].append([len(np.intersect1d(items, h, assume_unique=True)) for _, h in hubs])
+                    out["sizes"].append([len(h) for _, h in hubs])
+                    out["hub_keys"].append([k for k, _ in hubs])
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
     return run
 
@@ -255,10 +272,12 @@ def _hub_round(members: DataFrame, docs: DataFrame, width: int, percent: int, hu
     be linked to one outside; hubs themselves are settled.
     """
     draw = F.xxhash64("key", F.lit(turn))
-    picked = members.groupBy("fam", F.pmod(draw, F.lit(hubs)).alias("slot")).agg(F.min(F.struct("main", draw.alias("draw"), "key", "cid")).alias("h"))
-    chosen = _with_text(picked.select("fam", "h.key", "h.cid"), docs)
-    table = chosen.groupBy("fam").agg(F.collect_list(F.struct("key", "text")).alias("hubs"))
-    rows = _with_text(members.drop("main"), docs).join(table, "fam").select("fam", "key", "cid", "n", "text", "hubs")
+    picked = members.groupBy("fam", F.pmod(draw, F.lit(hubs)).alias("slot")).agg(F.min(F.struct("main", draw.alias("draw"), "key", "cid", "n")).alias("h"))
+    sized = _chunks(members)
+    chosen = picked.select("fam", "h.key", "h.cid", "h.n").join(sized.select("fam", "chunks").distinct(), "fam")
+    held = chosen.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    read = sized.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit("chunk")), "chunks").cast("int")).drop("chunks", "main")
+    rows = _dealt(_with_text(held, docs), _with_text(read, docs), ["fam", "chunk"])
     dist = staged(rows.mapInArrow(_distances(width), "fam long, key binary, cid long, n long, common array<long>, sizes array<long>, hub_keys array<binary>").dropDuplicates(["fam", "key"]), "hub-distances")
     pairs = F.arrays_zip("common", "sizes", "hub_keys")
     is_link = lambda p: 100 * p["common"] >= percent * (p["sizes"] + F.col("n") - p["common"])
@@ -272,11 +291,13 @@ def _hub_round(members: DataFrame, docs: DataFrame, width: int, percent: int, hu
     chain = tied.select("to").distinct().select(F.explode(F.transform(F.sequence(F.lit(1), F.size("to")), lambda i: F.struct(F.get("to", i - 1).alias("a"), F.get("to", i).alias("b")))).alias("e")).select("e.*")
     links = staged(own.unionByName(chain.where(F.col("b").isNotNull()).distinct()), "hub-links")
     roots = components(links).select(F.col("node").alias("key"), "root")
-    placed = dist.join(roots, "key", "left")
-    # The largest cluster of hubs and what is linked to them holds the main members.
-    sizes = placed.where(F.col("root").isNotNull()).groupBy("fam", "root").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("fam").agg(F.max(F.struct("m", "root")).alias("most")).select("fam", F.col("most.root").alias("main_root"))
-    marked = placed.join(main, "fam", "left").withColumn("main", F.coalesce(F.col("root") == F.col("main_root"), F.lit(False))).drop("root", "main_root")
+    placed = dist.join(members.select("fam", "key", F.col("main").alias("was")), ["fam", "key"]).join(roots, "key", "left")
+    # Clusters that reach the main cluster join it; at first it is the largest of hubs and what is linked to them.
+    sizes = placed.where(F.col("root").isNotNull()).groupBy("fam", "root").agg(F.count("*").alias("m"), F.max("was").alias("was"))
+    most = sizes.groupBy("fam").agg(F.max(F.struct("m", "root")).alias("most")).select("fam", "most.root")
+    begun = placed.where("was").select("fam").distinct()
+    main = sizes.where("was").select("fam", "root").unionByName(most.join(begun, "fam", "left_anti")).withColumn("reached", F.lit(True))
+    marked = placed.join(main, ["fam", "root"], "left").withColumn("main", F.col("was") | F.coalesce("reached", F.lit(False))).drop("root", "was", "reached")
     spread = marked.where(~F.col("main")).select("fam", F.posexplode("d").alias("i", "x")).groupBy("fam", "i").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     bounds = spread.groupBy("fam").agg(F.array_sort(F.collect_list(F.struct("i", "lo", "hi"))).alias("bounds"))
     reach = 1 - percent / 100 + 1e-9
@@ -286,6 +307,109 @@ def _hub_round(members: DataFrame, docs: DataFrame, width: int, percent: int, hu
     return links, left.join(outside, "fam", "left_semi").select("fam", "key", "cid", "n", "main")
 
 
+class _Held:
+    """Sets of a block by size, and the cluster that each is in so far."""
+
+    def __init__(self, keys: list[bytes], sets: list[np.ndarray], of: np.ndarray):
+        self.keys, self.sets, self.of = keys, sets, of
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        self.ends = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        self.items, self.ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(self.items), np.int32)
+
+    def window(self, n: int, percent: int) -> slice:
+        """Sets whose sizes alone allow a link to one of ``n``."""
+        return slice(int(np.searchsorted(self.sizes * 100, percent * n)), int(np.searchsorted(self.sizes * percent, 100 * n, "right")))
+
+    def common(self, items: np.ndarray, w: slice) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.items, items), len(self.items) - 1)
+        at = at[self.items[at] == items]
+        self.mark[at] = 1
+        low = self.ends[w.start]
+        out = np.add.reduceat(self.mark[self.ids[low : self.ends[w.stop]]], self.ends[w] - low)
+        self.mark[at] = 0
+        return out
+
+    def without(self, cluster: int) -> _Held | None:
+        keep = np.flatnonzero(self.of != cluster).tolist()
+        return _Held([self.keys[i] for i in keep], [self.sets[i] for i in keep], self.of[keep]) if keep else None
+
+
+def _cross(width: int, percent: int):
+    """Links (a, b) that tie clusters of a block of held sets and the members read against it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, waiting, held, few, numbers, union = None, [], None, (-1, None), {}, _Union(0)
+
+        def number(root: bytes) -> int:
+            if root not in numbers:
+                numbers[root] = len(union.up)
+                union.up.append(len(union.up))
+            return union.find(numbers[root])
+
+        for batch in batches:
+            a, b = [], []
+            for row in (r for first in range(0, batch.num_rows, 1024) for r in batch.slice(first, 1024).to_pylist()):
+                if (row["fam"], row["block"], row["chunk"]) != at:
+                    at, waiting, held, few, numbers, union = (row["fam"], row["block"], row["chunk"]), [], None, (-1, None), {}, _Union(0)
+                if row["side"] == 0:
+                    items = shingles(row["text"], width)
+                    if digest(items) == row["key"]:
+                        waiting.append((len(items), row["key"], items, number(row["root"])))
+                    continue
+                if waiting:
+                    waiting.sort(key=lambda x: x[:2])
+                    held = _Held([x[1] for x in waiting], [x[2] for x in waiting], np.array([x[3] for x in waiting]))
+                    waiting = []
+                own = number(row["root"])
+                # What is held by size and not yet in this member's cluster.
+                now = few[1] if few[0] >= 0 and union.find(few[0]) == own else held
+                if now is None:
+                    continue
+                w = now.window(row["n"], percent)
+                if (now.of[w] == own).all():
+                    continue
+                items = shingles(row["text"], width)
+                if digest(items) != row["key"]:
+                    continue
+                hits = linked(now.common(items, w), now.sizes[w], len(items), percent) & (now.of[w] != own)
+                for j in (np.flatnonzero(hits) + w.start).tolist():
+                    other = int(now.of[j])
+                    if union.join(own, other):
+                        a.append(row["key"])
+                        b.append(now.keys[j])
+                        for block in (held, few[1]):
+                            if block is not None:
+                                block.of[(block.of == own) | (block.of == other)] = union.find(own)
+                        own = union.find(own)
+                if 2 * int((now.of != own).sum()) < len(now.of):
+                    few = own, now.without(own)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return run
+
+
+def _crossed(left: DataFrame, links: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between the clusters that ``links`` makes of the members that are left.
+
+    Members outside the largest cluster of their family are held in blocks, and every
+    member is read against each block, one outside only against blocks up to its own.
+    """
+    roots = components(links).select(F.col("node").alias("key"), "root")
+    rows = _chunks(left.select("fam", "key", "cid", "n").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    rows = staged(rows.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit("chunk")), "chunks").cast("int")), "clusters")
+    sizes = rows.groupBy("fam", "root").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("fam").agg(F.max(F.struct("m", "root")).alias("most")).select("fam", F.col("most.root").alias("main"))
+    rows = rows.join(main, "fam").withColumn("outside", F.col("root") != F.col("main")).drop("main")
+    blocks = rows.where("outside").groupBy("fam").agg(F.ceil(F.sum("n") / BLOCK_ITEMS).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "fam").withColumn("own", F.pmod(F.xxhash64("key", F.lit("block")), "blocks").cast("int"))
+    held = rows.where("outside").withColumn("block", F.col("own")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    read = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.when(F.col("outside"), F.col("own")).otherwise(F.col("blocks") - 1))))
+    names = ["fam", "block", "chunk", "key", "cid", "n", "root"]
+    dealt = _dealt(_with_text(held.select(names), docs), _with_text(read.select(names), docs), names[:3])
+    return dealt.mapInArrow(_cross(width, percent), "a binary, b binary")
+
+
 def _shared(agree: int, second: float, levels: int) -> float:
     """Probability that a pair agreeing on ``agree`` coordinates shares a node of one tree so many levels down."""
     one = agree / COORDS
@@ -350,7 +474,7 @@ def labelled(docs: DataFrame, width: int = 2, percent: int = 80, miss: float = 1
     edges = staged(edges, "candidates")
     families = components(edges).select(F.col("node").alias("k"), F.col("root").alias("fam"))
     members = staged(families.join(classes.select("k", "key", "cid", "n"), "k").drop("k"), "families")
-    links = []
+    links, tied = [], []
     turn = 0
     left = members.withColumn("main", F.lit(False))
     while True:
@@ -361,13 +485,15 @@ def labelled(docs: DataFrame, width: int = 2, percent: int = 80, miss: float = 1
         large = left.where("large").drop("large")
         if large.isEmpty():
             break
-        got, rest = _hub_round(large, texts, width, percent, min(hubs << turn, max(hubs, MOST_HUBS)), turn)
+        if turn == ROUNDS:
+            links.append(_crossed(large, reduce(DataFrame.unionByName, tied), texts, width, percent))
+            break
+        got, rest = _hub_round(large, texts, width, percent, hubs << turn, turn)
+        tied.append(got)
         links.append(got)
         left = staged(rest, "hub-left")
         turn += 1
-    found = links[0]
-    for more in links[1:]:
-        found = found.unionByName(more)
+    found = reduce(DataFrame.unionByName, links)
     if turn:  # links of one family come from several rounds
         found = components(staged(found, "links")).select(F.col("node").alias("a"), F.col("root").alias("b"))
     roots = staged(found.select(F.col("a").alias("key"), F.col("b").alias("root")), "roots")

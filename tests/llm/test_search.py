@@ -81,6 +81,24 @@ def test_op4_long_chain_in_hub_rounds(spark):
     assert turns[:3] == [4, 8, 16] and len(turns) <= 7
 
 
+def test_op4_large_family_ends_in_blocks(spark, monkeypatch):
+    """Clusters of one family that no hub ties: three rounds of hubs, then each pair of clusters once."""
+    words, at, rows = [f"x{i}" for i in range(4000)], 0, []
+    for k in range(240):
+        rows.append((1000 - k, " ".join(words[at : at + 120])))
+        at += 20 if k % 12 == 11 else 6
+    random.Random(8).shuffle(rows)
+    want, _ = near_brute(rows, 2)
+    turns = []
+    plain = cpsjoin._hub_round
+    monkeypatch.setattr(cpsjoin, "_hub_round", lambda *a: turns.append(a[4]) or plain(*a))
+    for name, value in (("CHUNK_ROWS", 50), ("BLOCK_ITEMS", 3000)):
+        monkeypatch.setattr(cpsjoin, name, value, raising=False)
+    got = cpsjoin.cluster(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80, family_work=1.0, hubs=2).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want and len({c for _, c in want.values()}) == 20
+    assert turns == [2, 4, 8]
+
+
 def test_op4_recall_against_all_rows(spark):
     """Every row whose id is divisible by 50 against all rows of 10,000, by exact sets."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
