@@ -26,6 +26,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,7 +69,7 @@ def encoded(path: str, texts: list[str | None]) -> Iterator[bytes]:
         size += len(call[-1])
         if size >= CALL or i == len(texts) - 1:
             for one in run.encode_batch_fast(call, add_special_tokens=False):
-                yield np.array(one.ids, "<u4").tobytes()
+                yield np.array(array("I", one.ids), "<u4").tobytes()  # a third of the time that numpy takes for a list
             call, size = [], 0
 
 
