@@ -485,6 +485,9 @@ def labelled(docs: DataFrame, width: int = 2, percent: int = 80, miss: float = 1
         large = left.where("large").drop("large")
         if large.isEmpty():
             break
+        if turn == 0:  # from here on only their texts are read, not all of them in every round
+            held = large.select(F.col("cid").alias("doc_id")).distinct()
+            texts = staged(texts.join(held.hint("merge"), "doc_id", "left_semi"), "large-texts")
         if turn == ROUNDS:
             links.append(_crossed(large, reduce(DataFrame.unionByName, tied), texts, width, percent))
             break
