@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -261,27 +262,27 @@ class _Query:
         self.at += 1
         return self.tokens[self.at - 1]
 
-    def either(self, words):
-        out = self.both(words)
+    def either(self, lowered):
+        out = self.both(lowered)
         while self.peek() == "|":
             self.take()
-            out = out | self.both(words)
+            out = out | self.both(lowered)
         return out
 
-    def both(self, words):
-        out = self.phrase(words)
+    def both(self, lowered):
+        out = self.phrase(lowered)
         while self.peek() == "&":
             self.take()
-            out = out & self.phrase(words)
+            out = out & self.phrase(lowered)
         return out
 
-    def phrase(self, words):
+    def phrase(self, lowered):
         if self.peek() == "!":
             self.take()
-            return ~self.phrase(words)
+            return ~self.phrase(lowered)
         if self.peek() == "(":
             self.take()
-            out = self.either(words)
+            out = self.either(lowered)
             if self.peek() != ")":
                 raise ValueError("query syntax: ) expected")
             self.take()
@@ -290,16 +291,7 @@ class _Query:
         while (op := self.peek()) and (op == "<->" or re.fullmatch(r"<\d+>", op)):
             self.take()
             run.append((run[-1][0] + (1 if op == "<->" else int(op[1:-1])), self.word()))
-        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
-
-        def all_at(i):
-            out = F.lit(True)
-            for step, w in run:
-                e = F.get(words, i + step)
-                out = out & F.coalesce(e.startswith(w[:-2]) if w.endswith(":*") else e == w, F.lit(False))
-            return out
-
-        return F.exists(starts, all_at)
+        return _phrase_found(lowered, run)
 
     def word(self):
         w = self.take() if self.peek() else None
@@ -308,14 +300,34 @@ class _Query:
         return w.strip("'")
 
 
-def words_of(x: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(x, F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
+_IN, _OUT = "[\\p{L}\\p{N}]", "[^\\p{L}\\p{N}]"  # of words, between words
+
+
+def _phrase_found(lowered: Column, run: list[tuple[int, str]]) -> Column:
+    """Whether each word of ``run`` stands at its step from one place of the text: one search by a pattern, which
+    reads the text once and repeats nothing (its quantifiers are possessive)."""
+    steps: dict[int, list[tuple[str, str]]] = {}
+    for step, w in run:
+        stem, end = (w[:-2], "") if w.endswith(":*") else (w, f"(?!{_IN})")
+        if not stem or any(unicodedata.category(c)[0] not in "LN" for c in stem):
+            return F.lit(False)  # no word of a text is like that
+        steps.setdefault(step, []).append((stem, end))
+    pattern, before = "", None
+    for step, words in steps.items():
+        if before is None:  # the word itself leads, which the search finds faster than what stands before it
+            (stem, end), *words = words
+            pattern = "".join(f"(?={s}{e})" for s, e in words) + f"{stem}(?<!{_IN}{stem}){end}"
+        else:
+            skipped = f"(?:{_IN}++{_OUT}++){{{step - before - 1}}}+" if step - before > 1 else ""
+            pattern += f"{_IN}*+{_OUT}++{skipped}" + "".join(f"(?={s}{e})" for s, e in words)
+        before = step
+    return lowered.rlike(pattern)
 
 
 def text_matches(x: Column, query: str) -> Column:
     """``to_tsvector('simple', x) @@ to_tsquery('simple', query)``: & | ! ( ) <-> <n> and prefixes ``w:*``."""
     q = _Query(query)
-    out = q.either(words_of(x))
+    out = q.either(F.lower(F.coalesce(x, F.lit(""))))
     if q.peek() is not None:
         raise ValueError(f"query syntax at {q.peek()!r}")
     return out

@@ -1,6 +1,9 @@
 """Scalar semantics on NULLs, empties and edges."""
 
 import datetime as dt
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,6 +163,32 @@ def test_text_queries(spark):
             text.text_matches(doc, wrong)
 
 
+def test_text_queries_against_word_lists(spark):
+    some, draw = ["of", "the", "ofx", "xof", "tion", "ti", "été", "ß", "a1", "𝔸b"], random.Random(5)
+    texts = ["", None, "of_the", "of\n-- the", "THE of", *("".join(draw.choice(some) + draw.choice([" ", "-", "_", ", ", "\u0301", "\n"]) for _ in range(draw.randrange(12))) for _ in range(1000))]
+    queries = {"of <-> the": ["of", "the"], "of <2> the": ["of", "", "the"], "ti:* <-> a1 <3> t:*": ["ti*", "a1", "", "", "t*"], "𝔸b <-> ß": ["𝔸b", "ß"], "of:* <-> x:*": ["of*", "x*"], "t:*": ["t*"]}
+    fits = lambda w, e: w.startswith(e[:-1]) if e.endswith("*") else e in ("", w)
+
+    def found(t, run):
+        words = [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
+        return any(all(fits(w, e) for w, e in zip(words[i:], run)) for i in range(len(words) - len(run) + 1))
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(*[text.text_matches(F.col("t"), q).alias(f"q{i}") for i, q in enumerate(queries)]).collect()
+    want = [tuple(found(t, run) for run in queries.values()) for t in texts]
+    assert [tuple(r) for r in got] == want and all(0 < sum(c) < len(texts) for c in zip(*want, strict=True))
+    for q, ok in (("'of' <0> o:*", True), ("of <0> the", False), ("of_the", False), ("of_:*", False), ("'of the'", False), ("!of_the & of", True)):
+        assert value(spark, text.text_matches(F.lit("of_the"), q)) is ok, q
+
+
+def test_text_query_reads_a_long_text_once(spark):
+    long = spark.createDataFrame([("of x the y " * 12_500,)], "t string")
+    began = time.time()
+    got = long.select(*[text.text_matches(F.col("t"), q).alias(n) for n, q in (("a", "of <-> the"), ("b", "of <2> the"), ("c", "of <9> y"), ("d", "z:*"))]).first()
+    assert tuple(got) == (False, True, False, False)
+    assert time.time() - began < 20
+
+
 def test_vectors(spark):
     a, b = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(2.0))
     assert value(spark, pg.cosine_distance(a, b)) == 1.0
