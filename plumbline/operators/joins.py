@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from plumbline.operators.base import query, sql, statement, table
 
 statement("j1_inner_equi", "SELECT o_orderkey, c_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'")
-statement("j2_theta_band", "SELECT a.p_partkey AS k1, b.p_partkey AS k2 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size < b.p_size AND b.p_size <= a.p_size + 2")
 statement("j3_left_outer", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 200000")
 statement("j4_right_outer", "SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_totalprice > 250000")
 statement("j5_full_outer", "SELECT a.n_nationkey AS ak, b.n_nationkey AS bk FROM (SELECT * FROM nation WHERE n_regionkey < 3) a FULL JOIN (SELECT * FROM nation WHERE n_regionkey > 1) b ON a.n_nationkey = b.n_nationkey")
@@ -29,6 +29,35 @@ statement("j17_self_join", "SELECT a.n_name AS n1, b.n_name AS n2 FROM nation a
 statement("p14_row_in_subquery", "SELECT c_custkey FROM customer WHERE (c_nationkey, c_mktsegment) IN (SELECT n_nationkey, 'BUILDING' FROM nation WHERE n_regionkey = 1)")
 
 
+BAND = "SELECT a.p_partkey AS k1, b.p_partkey AS k2 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size < b.p_size AND b.p_size <= a.p_size + 2"
+
+
+def band_pairs(df: DataFrame, key: str, by: str, on: str, width: int, block: int = 200) -> DataFrame:
+    """``k1``, ``k2``: keys of the pairs with equal ``by`` whose second ``on``, a whole number, is 1 to ``width`` larger.
+
+    Keys are listed by value, lists are joined for each distance (no pair is made and dropped again) and dealt out
+    evenly in blocks of ``block`` by ``block`` pairs, since the result and not the input says what a task has to do.
+    Spark holds the rows that one block makes until all are made, so blocks are small.
+    """
+    spark = df.sparkSession
+    at = df.where(F.col(by).isNotNull() & F.col(on).isNotNull()).groupBy(by, F.col(on).cast("long").alias("_at")).agg(F.collect_list(F.struct(F.col(key).alias("k"))).alias("_all"))
+    blocks = F.transform(F.sequence(F.lit(1), F.size("_all"), F.lit(block)), lambda i: F.slice("_all.k", i, block))
+    lists = at.select(by, "_at", F.explode(blocks).alias("_keys"))
+    low = lists.select(by, F.explode(F.array([F.col("_at") + d for d in range(1, width + 1)])).alias("_at"), F.col("_keys").alias("_low"))
+    pairs = low.join(lists.withColumnRenamed("_keys", "_high").hint("merge"), [by, "_at"]).select("_low", "_high")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    out = pairs.repartition(tasks).select(F.explode("_low").alias("k1"), "_high")
+    return out.select("k1", F.explode("_high").alias("k2"))
+
+
+@query(BAND)
+def j2_theta_band(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    if not isinstance(part.schema["p_size"].dataType, IntegralType):
+        return sql(spark, sf_dir, BAND)
+    return band_pairs(part, "p_partkey", "p_brand", "p_size", 2)
+
+
 def quantified(left: DataFrame, x: Column, op: str, right: DataFrame, y: str, every: bool) -> DataFrame:
     """``x op ANY/ALL (SELECT y)`` as column ``verdict``, three-valued, through one aggregate row.
 
